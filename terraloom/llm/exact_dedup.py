@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from ._common import attach, materialise, salt, work_path
+from ._common import attach, col, materialise, salt, work_path
 
 SALTS = 64
 LOCATOR = "__locator"
@@ -100,7 +100,7 @@ class ExactDedupState:
         else:
             arrivals = arrivals.withColumn("variant", F.lit(None).cast("string"))
         # the variant is null for all but texts of one digest and different bytes
-        arrivals = arrivals.withColumn("class", F.concat(F.col("digest"), F.coalesce(F.encode("variant", "UTF-8"), F.lit(b""))))
+        arrivals = arrivals.withColumn("class", F.concat(F.col("digest"), F.coalesce(F.encode(F.concat(F.lit("+"), "variant"), "UTF-8"), F.lit(b""))))
         totals = arrivals.groupBy("class").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "locator")).alias("last"))
         out = attach(arrivals, totals, ["class"], F.col("locator"), self.salts)
         return out.select("id", "locator", "digest", F.col("last.id").alias("keep_id"), "group_size", (F.col("last.locator") == F.col("locator")).alias("kept"))
@@ -136,7 +136,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the rows whose text another row, which stays, has."""
     located, result = dedup(docs, id_col, text_col)
     gone = result.where(~F.col("kept")).select(F.col("locator").alias(LOCATOR))
-    return located.join(gone, LOCATOR, "left_anti").select(*docs.columns)
+    return located.join(gone, LOCATOR, "left_anti").select(*map(col, docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

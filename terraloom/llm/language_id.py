@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ship, slices
+from ._common import col, ship, slices
 
 #: Bounds of the sample: rows and characters of a language, languages; letters of the alphabet; symbols of a piece.
 ROWS, CHARS, LANGUAGES, LETTERS, PIECE = 200, 20_000, 64, 60, 2048
@@ -56,7 +56,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
 
 
 def _automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Dense table of the cross-parsing transducer: 2 * next state + 1 where a phrase ends before the symbol."""
+    """Dense table of the cross-parsing transducer: 4 * next state + the number of phrases that end with the step."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -82,10 +82,11 @@ def _automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    # where there is no way on, a phrase ends and the next one begins with this symbol
-    table = np.tile(np.array([2 * nexts[0].get(c, 0) + 1 for c in range(width)], np.int32), (len(nexts), 1))
+    # where there is no way on, a phrase ends and the next begins with this symbol; one that the sample lacks is a phrase of its own
+    table = np.tile(np.array([4 * nexts[0][c] + 1 if c in nexts[0] else 2 for c in range(width)], np.int32), (len(nexts), 1))
+    table[0] = 1
     for state, moves in enumerate(nexts):
-        table[state, list(moves)] = [2 * t for t in moves.values()]
+        table[state, list(moves)] = [4 * t for t in moves.values()]
     return table
 
 
@@ -139,9 +140,10 @@ class LanguageModel:
             for step in range(int(size[0]) if len(size) else 0):
                 n = active[step]
                 move = table.take(state[:n] * self.width + wide.take(at[:n] + step))
-                count[:n] += move & 1
-                state[:n] = move >> 1
-        total = np.stack([np.bincount(owner, count + 1, len(texts)) for count in phrases])
+                count[:n] += move & 3
+                state[:n] = move >> 2
+            count += state > 0
+        total = np.stack([np.bincount(owner, count, len(texts)) for count in phrases])
         rate = total * np.array(self.bits)[:, None] / np.maximum(lengths, 1)
         best = rate.argmin(axis=0)
         least = rate.min(axis=0)
@@ -155,10 +157,10 @@ def trained(texts: tuple[tuple[str, str], ...]) -> LanguageModel:
     return LanguageModel(texts)
 
 
-def identify(docs: DataFrame, model: tuple[tuple[str, str], ...], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep`, lang_pred and score of each row, by a sample's model. One narrow pass."""
+def identify(docs: DataFrame, model: tuple[tuple[str, str], ...], keep: list[str], text_col: str = "text", mark: str = "") -> DataFrame:
+    """The columns `keep`, then lang_pred and score (with `mark` before their names) of each row, by a sample's model. One narrow pass."""
     ship(docs.sparkSession)
-    chosen = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(k).alias(f"__{i}") for i, k in enumerate(keep)))
+    chosen = docs.select(F.col(text_col).cast("string").alias("__text"), *(col(k).alias(f"__{i}") for i, k in enumerate(keep)))
     names = [*(f"__{i}" for i in range(len(keep))), "__lang_pred", "__score"]
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,13 +171,13 @@ def identify(docs: DataFrame, model: tuple[tuple[str, str], ...], keep: list[str
 
     kept = "".join(f"`__{i}` {t}, " for i, (_, t) in enumerate(chosen.dtypes[1:]))
     out = chosen.mapInArrow(predict, f"{kept}__lang_pred string, __score double")
-    return out.select(*(F.col(f"__{i}").alias(k) for i, k in enumerate(keep)), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    return out.select(*(F.col(f"__{i}").alias(k) for i, k in enumerate(keep)), F.col("__lang_pred").alias(f"{mark}lang_pred"), F.col("__score").alias(f"{mark}score"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """docs, all columns, without those whose language can't be told (no letters, or nothing to learn from)."""
-    verdicts = identify(docs, sample(docs), docs.columns)
-    return verdicts.where(F.col("lang_pred") != "und").select(*docs.columns)
+    verdicts = identify(docs, sample(docs), docs.columns, mark="__identified_")
+    return verdicts.where(F.col("__identified_lang_pred") != "und").select(*map(col, docs.columns))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

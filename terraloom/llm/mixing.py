@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import col
+
 #: Target shares of the tokens; `*` is everything not named.
 TARGETS = {
     "source": {"src0": 0.2, "*": 0.8},
@@ -106,7 +108,7 @@ def weighted(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, bu
 
 def draw(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """docs, all columns, of the sampled rows."""
-    return weighted(docs, targets, budget).where("__mix.sampled").select(*docs.columns)
+    return weighted(docs, targets, budget).where("__mix.sampled").select(*map(col, docs.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

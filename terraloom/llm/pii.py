@@ -106,13 +106,21 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind
     """id and the text with each span of the kinds replaced by its kind in brackets, later kinds after earlier ones."""
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for k in kinds:
-        cut = F.aggregate(F.col("s"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda a, x, k=k: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.lit(f"[{k}]")).alias("out")), lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
-        out = out.withColumn("s", spans(F.col("text"), k)).select("id", F.when(F.size("s") > 0, cut).otherwise(F.col("text")).alias("text"))
+        out = out.withColumn("s", spans(F.col("text"), k)).select("id", F.when(F.size("s") > 0, _cut(k)).otherwise(F.col("text")).alias("text"))
     return out
 
 
+def _cut(kind: str) -> Column:
+    text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, x["start"] - a["at"]), F.lit(f"[{kind}]")).alias("out"))
+    return F.aggregate(F.col("s"), start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+
+
 def _joined(kinds: tuple[str, ...]) -> Column:
-    return F.array_join(F.concat(*(F.transform(F.col(k), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))) for k in kinds)), ",")
+    def one(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
+    return F.array_join(F.concat(*map(one, kinds)), ",")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import attach, materialise, ship
+from ._common import attach, col, materialise, ship
 
 RADIUS, SEED, BLOCK = 2, 42, 1 << 15
 SPACES = re.compile(rb"[ \t-\r]+")
@@ -324,4 +324,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col(LOCATOR))
     first = members.groupBy("label").agg(F.min(order).alias("first"))
     gone = attach(members, first, ["label"], F.col(LOCATOR)).where(F.col(f"first.{LOCATOR}") != F.col(LOCATOR)).select(LOCATOR)
-    return located.join(materialise(gone, "near-copies"), LOCATOR, "left_anti").select(*docs.columns)
+    return located.join(materialise(gone, "near-copies"), LOCATOR, "left_anti").select(*map(col, docs.columns))
