@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -38,9 +39,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect what it no longer refers to, so that the shuffle files of ended steps are removed at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialised table that isn't needed any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.startswith(("file:", "hdfs:", "s3", "abfs", "gs:", "/")) and shared_dir(spark).split(":")[-1].lstrip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once for each context."""
     context = spark.sparkContext

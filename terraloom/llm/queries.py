@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, mixing, pieces, pii, simhash, token_counts, url_filter
+from . import exact_dedup, fingerprints, language_id, mixing, pieces, pii, repeats, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_repeats": repeats.op4_repeats,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
