@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import radius_join
@@ -53,11 +53,10 @@ def collapse(cells: DataFrame, key: str, value: str, weight: str) -> DataFrame:
 
 def coverage_gate(stats: DataFrame, entities: DataFrame, key: str, share: float = 0.95) -> DataFrame:
     """For each radius the share of entities with a value, and whether it's the first that reaches `share`."""
-    total = entities.select(F.count_distinct(key).alias("total"))
-    seen = stats.where("n > 0").groupBy("radius").agg(F.count_distinct(key).alias("covered")).crossJoin(F.broadcast(total))
-    seen = seen.withColumn("share", F.col("covered") / F.col("total"))
-    first = seen.where(F.col("share") >= share).agg(F.min("radius").alias("gate"))
-    return seen.crossJoin(F.broadcast(first)).select("radius", "covered", "share", F.coalesce(F.col("radius") == F.col("gate"), F.lit(False)).alias("chosen"))
+    total = entities.select(F.count_distinct(key)).first()[0]
+    seen = stats.where("n > 0").groupBy("radius").agg(F.count_distinct(key).alias("covered")).withColumn("share", F.col("covered") / F.lit(float(max(total, 1))))
+    gate = F.min(F.when(F.col("share") >= share, F.col("radius"))).over(Window.partitionBy())  # a row for each radius
+    return seen.select("radius", "covered", "share", F.coalesce(F.col("radius") == gate, F.lit(False)).alias("chosen"))
 
 
 def entity_rows(df: DataFrame, key: str, values: list[str], order: str) -> DataFrame:

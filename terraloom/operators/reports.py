@@ -63,6 +63,6 @@ def scale_choice(df: DataFrame, by: list[str], scale: str, criterion: str) -> Da
 
 
 def group_record(df: DataFrame, group: str) -> DataFrame:
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
-    missing = df.where(F.col(group).isNull()).agg(F.count("*").alias("missing"))
-    return sizes.agg(F.count("*").alias("groups"), F.min("n").alias("smallest"), F.max("n").alias("largest"), (F.max("n") / F.sum("n")).alias("largest_share")).crossJoin(missing)
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    n = F.when(F.col(group).isNotNull(), F.col("n"))
+    return sizes.agg(F.count(n).alias("groups"), F.min(n).alias("smallest"), F.max(n).alias("largest"), (F.max(n) / F.sum(n)).alias("largest_share"), F.coalesce(F.sum(F.when(F.col(group).isNull(), F.col("n"))), F.lit(0)).alias("missing"))

@@ -3,26 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gram import gram, incremental_r2
 from .panel import complete
-from .splits import exposure_groups, qcut
+from .splits import exposure_groups, qcut, running
 
 #: Rows up to which a score over all pairs of rows is worked out (its matrices are this squared).
 PAIR_ROWS = 5000
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks with ties averaged. Distinct values are counted first, and ranked by running sums of partitions of their range, so no task sorts
-    all rows."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_c")).repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
-    counts = counts.persist()
-    before = counts.groupBy("_p").agg(F.sum("_c").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    run = F.sum("_c").over(Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn("_run", run).join(F.broadcast(before.select("_p", "_off")), "_p").select(column, (F.col("_off") + F.col("_run") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
-    return df.join(ranks, column)
+    """Ranks with ties averaged: distinct values are counted first, and a running sum of the counts ranks them."""
+    counts = running(df.groupBy(column).agg(F.count("*").alias("_c")), [F.col(column)], F.col("_c"), "_upto")
+    return df.join(counts.select(column, (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name)), column)
 
 
 def score_r2(df: DataFrame, y: str, x: str, controls: list[str]) -> float:

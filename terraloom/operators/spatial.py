@@ -56,14 +56,26 @@ def radius_components(points: DataFrame, key: str, reach: float) -> DataFrame:
 
 
 def merge_small(points: DataFrame, labels: DataFrame, key: str, least: int) -> DataFrame:
-    """Members of components below a size go to the nearest component (by centre) that isn't."""
+    """Members of components below a size go to the component, of those that aren't, whose centre is nearest to theirs. The reach of the bucketed
+    join doubles until each has one."""
     sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("n")), "component")
-    placed = points.select(key, "x", "y").join(sized, key)
-    big = placed.where(F.col("n") >= least).groupBy("component").agg(F.avg("x").alias("_x"), F.avg("y").alias("_y")).withColumnRenamed("component", "_c")
-    small = placed.where(F.col("n") < least).groupBy("component").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    # centres on both sides: at most one row for `least` entities
-    near = small.crossJoin(F.broadcast(big)).groupBy("component").agg(F.min(F.struct(F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")).alias("d"), "_c")).alias("m"))
-    return labels.join(near.select("component", F.col("m._c").alias("_to")), "component", "left").select(key, F.coalesce("_to", "component").alias("component"))
+    centres = points.select(key, "x", "y").join(sized, key).groupBy("component").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).persist()
+    small = centres.where(F.col("n") < least).drop("n")
+    big = centres.where(F.col("n") >= least).select(F.col("component").alias("_c"), F.col("x").alias("mx"), F.col("y").alias("my"))
+    b = centres.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count_if(F.col("n") < least), F.count_if(F.col("n") >= least)).first()
+    moved = None
+    if b[2] and b[3]:
+        reach, left = max(b[0], b[1], 1.0) / 64, small
+        while True:
+            near = radius_join(left, big, reach).groupBy("component").agg(F.min(F.struct("d", "_c")).alias("m")).select("component", F.col("m._c").alias("_to")).persist()
+            moved = near if moved is None else moved.unionByName(near)
+            left = left.join(near, "component", "left_anti")
+            if reach > 2 * max(b[0], b[1]) or not left.limit(1).count():
+                break
+            reach *= 2
+    if moved is None:
+        return labels
+    return labels.join(moved, "component", "left").select(key, F.coalesce("_to", "component").alias("component"))
 
 
 def component_report(points: DataFrame, labels: DataFrame, key: str) -> DataFrame:

@@ -125,8 +125,26 @@ def group_blocks(df: DataFrame, group: str, size: float) -> DataFrame:
     return spatial_blocks(df.groupBy(group).agg(F.avg("x").alias("x"), F.avg("y").alias("y")), size)
 
 
+def running(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Running sum of a value over the whole table in an order: sums inside ranges of the order, and the few totals of the ranges before, so no
+    task sorts all rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_v", value).repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).persist()
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_p").agg(F.sum("_v").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    inside = F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_run", inside).join(F.broadcast(totals), "_p").withColumn(name, F.col("_off") + F.col("_run")).drop("_p", "_v", "_run", "_off")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, stratum: list[str] = []) -> DataFrame:  # noqa: B006
+    """Row numbers from 1, inside strata if given."""
+    if stratum:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*stratum).orderBy(*order)).cast("long"))
+    return running(df, order, F.lit(1), name)
+
+
 def permuted(df: DataFrame, key: str, value: str, seed: int, stratum: list[str] = []) -> DataFrame:  # noqa: B006
     """value permuted, inside strata if given: rows in the order of their keys take the values in the order of the draws."""
-    own = df.withColumn("_r", F.row_number().over(Window.partitionBy(*stratum).orderBy(key)))
-    other = df.select(*stratum, F.col(value).alias("permuted"), F.row_number().over(Window.partitionBy(*stratum).orderBy(draw(F.col(key), seed), key)).alias("_r"))
-    return own.join(other, [*stratum, "_r"]).drop("_r")
+    own = numbered(df, [F.col(key)], "_r", stratum)
+    other = numbered(df.select(*stratum, F.col(value).alias("permuted"), draw(F.col(key), seed).alias("_u"), F.col(key).alias("_k")), [F.col("_u"), F.col("_k")], "_r", stratum)
+    return own.join(other.drop("_u", "_k"), [*stratum, "_r"]).drop("_r")

@@ -675,8 +675,8 @@ def bootstrap_ci(s, d):
 @query(f"with m as (select split, v from ({SPLITS}) where family = 0), o as (select v as obs from m where split = 0) select round((count(*) filter (v >= obs)+1)/(count(v)+1)::double, 6) as p from m, o")
 def permutation_p(s, d):
     v = split_values(s, d).where("family = 0")
-    obs = v.where("split = 0").select(F.col("v").alias("obs"))
-    return v.crossJoin(F.broadcast(obs)).agg(r(inference.share_p(F.col("v"), F.col("obs"))).alias("p"))
+    obs = v.where("split = 0").first().v
+    return v.agg(r(inference.share_p(F.col("v"), F.lit(obs))).alias("p"))
 
 
 @query(f"with t as (select split, family, row_number() over (partition by split order by v desc, family) as k from ({SPLITS})) select family, round(avg(case when k = 1 then 1.0::double else 0 end),6) as share from t group by 1")

@@ -6,7 +6,7 @@ import json
 import sqlite3
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions.composites import ALIASES, resolve
@@ -132,8 +132,9 @@ def upsert(cache: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def evict(cache: DataFrame, limit: int, size: str = "bytes", used: str = "last_access", key: str = "tile") -> DataFrame:
     """Most recently used entries whose sizes add up to the limit at most."""
-    run = F.sum(size).over(Window.orderBy(F.desc(used), key).rowsBetween(Window.unboundedPreceding, 0))
-    return cache.withColumn("_run", run).where(F.col("_run") <= limit).drop("_run")
+    from terraloom.operators.splits import running
+
+    return running(cache, [F.desc(used), F.col(key)], F.col(size), "_upto").where(F.col("_upto") <= limit).drop("_upto")
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard") -> None:

@@ -121,6 +121,7 @@ def test_splits(spark, numbers):
     size = splits.block_size(df, 25, 10.0, y="py")
     n = splits.spatial_blocks(df, size, y="py").select("block").distinct().count()
     assert 16 <= n <= 36 and splits.default_blocks(10) == 9 and splits.default_blocks(10**6) == 200
+    assert sorted((r.id, r.n) for r in splits.numbered(df.select("id"), [F.col("id")], "n").collect()) == [(i, i + 1) for i in range(600)]
     p = splits.permuted(df, "id", "y", 3)
     assert sorted(r.permuted for r in p.collect()) == pytest.approx(sorted(a[:, 1]))
 
