@@ -44,7 +44,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver collect what it no longer refers to, so that the shuffle files of ended steps are removed at once."""
+    """Let the driver collect what it no longer refers to, so that the shuffle files of ended steps are removed at once. Spark itself holds on to
+    the last query that ran, so a tiny one comes first."""
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from ._common import attach, col, materialise, salt, work_path
+from ._common import attach, col, materialise, release, salt, work_path
 
 SALTS = 64
 LOCATOR = "__locator"
@@ -99,6 +99,7 @@ class ExactDedupState:
             arrivals = arrivals.join(variants.select("locator", "variant"), "locator", "left")
         else:
             arrivals = arrivals.withColumn("variant", F.lit(None).cast("string"))
+        release(self.spark)
         # the variant is null for all but texts of one digest and different bytes
         arrivals = arrivals.withColumn("class", F.concat(F.col("digest"), F.coalesce(F.encode(F.concat(F.lit("+"), "variant"), "UTF-8"), F.lit(b""))))
         totals = arrivals.groupBy("class").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "locator")).alias("last"))

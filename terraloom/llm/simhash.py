@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import attach, col, materialise, ship
+from ._common import attach, col, discard, materialise, release, ship
 
 RADIUS, SEED, BLOCK = 2, 42, 1 << 15
 SPACES = re.compile(rb"[ \t-\r]+")
@@ -243,8 +243,8 @@ def shard_pairs(values: list[int], reach: int = REACH, sure: int = SURE) -> list
     return pairs
 
 
-def near_pairs(docs: DataFrame, words: int, row: str, text_col: str) -> DataFrame:
-    """Distinct pairs (a, b) of row keys that may be similar: each in one tree of a band's bucket."""
+def signatures(docs: DataFrame, words: int, row: str, text_col: str) -> DataFrame:
+    """row, number (a whole number of its own, fixed by being written), fp, bands of each row."""
     ship(docs.sparkSession)
     chosen = docs.select(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"), F.col(row).alias("row"))
 
@@ -253,48 +253,57 @@ def near_pairs(docs: DataFrame, words: int, row: str, text_col: str) -> DataFram
             found = [signature(t.as_py(), words) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f for f, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))], ["row", "fp", "bands"])
 
-    signed = materialise(chosen.mapInArrow(sign, "row string, fp long, bands array<long>"), "bands")
-    rows = signed.select("row", "fp", F.posexplode("bands").alias("band", "value"))
-    buckets = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min(F.struct("row", "fp")).alias("first")).where("n > 1")
-    shards = attach(rows, buckets, ["band", "value"], F.col("row")).where("n > 1")
-    hot = shards.where((F.col("n") > TREE) & (F.col("row") != F.col("first.row"))).select(F.col("row").alias("a"), F.col("first.row").alias("b"))
-    shards = shards.withColumn("part", F.when(F.col("n") > TREE, F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / TREE))).otherwise(F.lit(0)).cast("long"))
-    shards = shards.select(F.col("band").cast("long").alias("band"), "value", "part", "fp", "row").repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "row")
+    return materialise(chosen.mapInArrow(sign, "row string, fp long, bands array<long>").withColumn("number", F.monotonically_increasing_id()), "bands")
+
+
+def near_pairs(signed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of numbers of rows that may be similar: each in one tree of a band's bucket."""
+    rows = signed.select("number", "fp", F.posexplode("bands").alias("band", "value"))
+    buckets = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("number").alias("first")).where("n > 1")
+    shards = attach(rows, buckets, ["band", "value"], F.col("number")).where("n > 1")
+    hot = shards.where((F.col("n") > TREE) & (F.col("number") != F.col("first"))).select(F.col("number").alias("a"), F.col("first").alias("b"))
+    shards = shards.withColumn("part", F.when(F.col("n") > TREE, F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / TREE))).otherwise(F.lit(0)).cast("long"))
+    shards = shards.select(F.col("band").cast("long").alias("band"), "value", "part", "fp", "number").repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "number")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.table({n: pa.array([], pa.string() if n == "row" else pa.int64()) for n in ("band", "value", "part", "fp", "row")})
+        held = np.empty((5, 0), np.int64)
         for batch in _with_end(batches):
             if batch is not None:
-                held = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(held.schema)])
-            if not len(held):
+                held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+            if not held.shape[1]:
                 continue
-            key = np.stack([held[n].to_numpy() for n in ("band", "value", "part")])
-            new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-            ends = np.append(new[1:], len(held))
-            if batch is not None:
+            new = np.flatnonzero(np.concatenate([[True], (held[:3, 1:] != held[:3, :-1]).any(axis=0)]))
+            ends = np.append(new[1:], held.shape[1])
+            if batch is not None:  # the last bucket may go on in the next batch
                 new, ends = new[:-1], ends[:-1]
-            fps, names = held["fp"].to_pylist(), held["row"].to_pylist()
-            out = [(names[s + x], names[s + y]) for s, e in zip(new.tolist(), ends.tolist()) if e - s > 1 for x, y in shard_pairs([v & 0xFFFFFFFFFFFFFFFF for v in fps[s:e]])]
-            held = held.slice(int(ends[-1])) if len(ends) else held
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out])], ["a", "b"])
+            a, b = [], []
+            for s, e in zip(new.tolist(), ends.tolist()):
+                if e - s > 1:
+                    numbers = held[4, s:e].tolist()
+                    for x, y in shard_pairs([v & 0xFFFFFFFFFFFFFFFF for v in held[3, s:e].tolist()]):
+                        a.append(numbers[x])
+                        b.append(numbers[y])
+            if len(ends):
+                held = held[:, ends[-1] :]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    found = shards.mapInArrow(search, "a string, b string").unionByName(hot)
+    found = shards.mapInArrow(search, "a long, b long").unionByName(hot)
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def shingle_sets(docs: DataFrame, words: int, row: str, text_col: str) -> DataFrame:
-    """row and its distinct shingle hashes."""
-    chosen = docs.select(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"), F.col(row).alias("row"))
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """number and its distinct shingle hashes, of texts (number, text)."""
+    chosen = texts.select(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"), "number")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t.as_py(), words)])).view(np.int64) for t in part.column(0)]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["number", "shingles"])
 
-    return chosen.mapInArrow(run, "row string, shingles array<long>")
+    return chosen.mapInArrow(run, "number long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, row: str, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
@@ -304,14 +313,20 @@ def near_duplicates(docs: DataFrame, row: str, words: int = 5, similarity: float
     At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits, which no sharding by equal blocks of bits can follow; so here the
     shards are buckets of MinHash bands (25 of 5 rows: a pair at 0.8 shares none in 1 of 20,000 cases), each with a tree of the fingerprints of
     its rows, searched within REACH bits. Texts without a word are never linked."""
-    pairs = materialise(near_pairs(docs, words, row, text_col), "pairs")
-    wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(wanted, "row", "left_semi")
-    sets = materialise(shingle_sets(texts, words, "row", "text"), "shingles")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+    signed = signatures(docs, words, row, text_col)
+    pairs = materialise(near_pairs(signed), "pairs")
+    wanted = pairs.select(F.col("a").alias("number")).unionByName(pairs.select(F.col("b").alias("number"))).distinct()
+    named = materialise(signed.select("number", "row").join(wanted, "number", "left_semi"), "named")
+    texts = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(named, "row").select("number", "text")
+    sets = materialise(shingle_sets(texts, words), "shingles")
+    both = pairs.join(sets.select(F.col("number").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("number").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.where((common > 0) & (common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))).select("a", "b")
-    return components(alike)
+    labels = materialise(components(alike).join(named.withColumnRenamed("number", "node"), "node").select(F.col("row").alias("node"), "label"), "near")
+    for table in (signed, pairs, sets):
+        discard(table)
+    release(docs.sparkSession)
+    return labels
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,4 +339,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col(LOCATOR))
     first = members.groupBy("label").agg(F.min(order).alias("first"))
     gone = attach(members, first, ["label"], F.col(LOCATOR)).where(F.col(f"first.{LOCATOR}") != F.col(LOCATOR)).select(LOCATOR)
-    return located.join(materialise(gone, "near-copies"), LOCATOR, "left_anti").select(*map(col, docs.columns))
+    gone = materialise(gone, "near-copies")
+    release(docs.sparkSession)
+    return located.join(gone, LOCATOR, "left_anti").select(*map(col, docs.columns))
