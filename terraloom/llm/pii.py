@@ -127,3 +127,42 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     best = F.aggregate(F.concat(*(F.transform(F.col(k), lambda s: s["score"]) for k in KINDS)), F.lit(0.0), lambda a, x: F.greatest(a, x))
     return found.select(F.col("id").alias("doc_id"), *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(_joined(BASE), 256).alias("base_sha256"), _joined(tuple(KINDS)).alias("spans"), best.alias("top_score"))
+
+
+def _sql() -> str:
+    """The same in DuckDB SQL: its expressions have neither look-behind nor possessive repeats, so base kinds use the plain patterns, and the
+    others take the character before into the match and leave it out again."""
+    octet = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": r"(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}\b|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?\b)",
+        "ssn": r"(?:^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    }
+    digit = "regexp_replace(w, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(0, length({digit})), lambda j: case when j % 2 = 1 then [0,2,4,6,8,1,3,5,7,9][1 + cast(substr({digit}, length({digit}) - j, 1) as integer)] else cast(substr({digit}, length({digit}) - j, 1) as integer) end)) % 10 = 0"
+    moved = "substr(replace(w, ' ', ''), 5) || substr(replace(w, ' ', ''), 1, 4)"
+    numbers = f"array_to_string(list_transform(string_split({moved}, ''), lambda c: case when c between '0' and '9' then c else cast(ascii(c) - 55 as varchar) end), '')"
+    rest = f"list_reduce(list_transform(string_split({numbers}, ''), lambda c: cast(c as integer)), lambda a, x: (a * 10 + x) % 97, 0) = 1"
+    passes = {"email": "true", "ip": rf"regexp_full_match(w, '{octet}(?:\.{octet}){{3}}')", "card": f"length({digit}) between 16 and 19 and {luhn}", "phone": f"length({digit}) between 8 and 15", "iban": f"length(replace(w, ' ', '')) between 15 and 34 and {rest}", "ssn": "true"}
+    parts = []
+    for n, kind in enumerate(KINDS):
+        base = 0.9 if kind in ("card", "iban") else 0.5
+        words = KINDS[kind][2]
+        lead = "[A-Z0-9]" if kind in ("iban", "ssn") else "."
+        skip = f"case when regexp_matches(m[i], '^{lead}') then 0 else 1 end" if kind in ("iban", "ssn") else "0"
+        parts.append(
+            f"select id, t, {n} as k, '{kind}' as kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'w': substr(m[i], 1 + {skip}), 'a': cast(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) + {skip} as bigint)}}), recursive := true), {base}::double as base, '{words}' as words from (select id, t, regexp_extract_all(t, '{plain[kind]}') as m, string_split_regex(t, '{plain[kind]}') as s from d)"
+        )
+    checks = " or ".join(f"(kind = '{k}' and {p})" for k, p in passes.items())
+    found = f"select id, k, kind, a, a + length(w) as e, case when regexp_matches(lower(substr(t, greatest(a - {WINDOW}, 0) + 1, least(a, {WINDOW}))), '\\b(?:' || words || ')\\b') then base + 0.1 else base end as score from ({' union all '.join(parts)}) where {checks}"
+    spans = "coalesce(string_agg(kind || ':' || a || ':' || e, ',' order by k, a){0}, '')"
+    return (
+        f"with d as (select row_number() over () as id, doc_id, coalesce(text, '') as t from documents), f as ({found}), g as (select * from f where kind <> 'ssn' or score > 0.5) "
+        "select d.doc_id, " + ", ".join(f"count(kind) filter (kind = '{k}') as n_{k}" for k in BASE) + f", sha256({spans.format(' filter (k < 4)')}) as base_sha256, {spans.format('')} as spans, coalesce(max(score), 0)::double as top_score from d left join g on d.id = g.id group by d.id, d.doc_id"
+    )
+
+
+OP7_SQL = _sql()

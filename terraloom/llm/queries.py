@@ -16,4 +16,4 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_language_id": language_id.op10_language_id,
 }
-SQL = {"op1_url_filters": url_filter.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL}
+SQL = {"op1_url_filters": url_filter.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op7_pii": pii.OP7_SQL}
