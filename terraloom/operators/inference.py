@@ -154,3 +154,16 @@ def split_inference(pooled: dict, held: dict, level: float = 0.95) -> dict:
 
 def seeded(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("u", draw(F.col(key), seed))
+
+
+def weighted_r2(df: DataFrame, y: str, x: str, controls: list[str], weight: str) -> float:
+    """Incremental R2 of the weighted rows."""
+    return incremental_r2(gram(df, [*controls, x, y], weight), y, x, controls)
+
+
+def r2_difference(df: DataFrame, y: str, exposures: tuple[str, str], controls: list[str], key: str, replicates: int = 400, seed: int = 0) -> dict:
+    """Difference of two exposures' incremental R2, with an interval over the same resamples of clusters."""
+    columns = [*controls, *exposures, y]
+    delta = lambda g: incremental_r2(g, y, exposures[0], controls) - incremental_r2(g, y, exposures[1], controls)
+    draws = np.array([delta(g) for g in replicate_grams(df, columns, key, replicates, seed)])
+    return {"delta": delta(gram(df, columns)), "low": float(np.quantile(draws, 0.025)), "high": float(np.quantile(draws, 0.975))}

@@ -11,6 +11,12 @@ STATS = ("mean", "p10", "p25", "p50", "p75", "p90")
 SHARES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
+def stat_column(stat: str, percentile: int | None = None) -> str | None:
+    """Stored column of a statistic: mean, median, or a percentile on the stored grid; None off it."""
+    name = {"mean": "mean", "median": "p50"}.get(stat) or (f"p{percentile}" if stat == "percentile" and percentile is not None else None)
+    return name if name in STATS else None
+
+
 def stats_of(value: Column, places: int | None = 4) -> list[Column]:
     """Mean and exact linear percentiles of the values that aren't null."""
     cut = (lambda c: F.bround(c, places)) if places is not None else (lambda c: c)

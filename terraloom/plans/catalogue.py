@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions import bands, composites, dates, geometry, kernels, text
-from terraloom.operators import exposure, gram, inference, joins, ladder, models, panel, posterior, raster, reports, scoring, search, spatial, splits
+from terraloom.operators import exposure, gram, grids, inference, joins, ladder, models, panel, posterior, raster, reports, scoring, search, spatial, splits
 from terraloom.sources.tables import evict, parse_panoramas, table, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -742,6 +742,45 @@ def component_report(s, d):
     return rounded(spatial.component_report(p, labels, "s_suppkey"))
 
 
+COMPONENTS = f"p as ({SUPP}), e as (select a.s_suppkey as a, b.s_suppkey as b from p a, p b where a.s_suppkey <> b.s_suppkey and sqrt((a.mx-b.mx)*(a.mx-b.mx)+(a.my-b.my)*(a.my-b.my)) <= 600), w as (select s_suppkey as k, s_suppkey as r from p union select e.b, w.r from w join e on e.a = w.k), l as (select k as s_suppkey, min(r) as component from w group by 1)"
+GRID = "g as (select distinct row, col, component as cluster_id, (col+0.5)*100 as x, -(row+0.5)*100 as y from (select component, mx, my, unnest(generate_series(cast(floor((mx-300)/100) as bigint)-1, cast(ceil((mx+300)/100) as bigint)+1)) as col, row from (select component, mx, my, unnest(generate_series(cast(floor((-my-300)/100) as bigint)-1, cast(ceil((-my+300)/100) as bigint)+1)) as row from p join l using (s_suppkey))) where sqrt(pow(mx-(col+0.5)*100,2)+pow(my+(row+0.5)*100,2)) <= 300)"
+
+
+@query(f"with recursive {COMPONENTS}, {GRID} select row, col, cluster_id, cast(x as double) as x, cast(y as double) as y from g")
+def clustered_grid(s, d):
+    return grids.clustered_grid(suppliers(s, d).withColumnsRenamed({"mx": "x", "my": "y"}), "s_suppkey", 300.0, 100.0)
+
+
+@query(f"with recursive {COMPONENTS}, {GRID}, c as (select cluster_id, min(x) as x0, max(y) as y0 from g group by 1) select cluster_id, cast(floor((y0-y)/1000) as bigint) as tile_row, cast(floor((x-x0)/1000) as bigint) as tile_col, count(*) as cells, cast(min(x0 + floor((x-x0)/1000)*1000) as double) as left_x from g join c using (cluster_id) group by 1, 2, 3")
+def planar_tiles(s, d):
+    return grids.planar_tiles(clustered_grid(s, d), 1000.0).select("cluster_id", "tile_row", "tile_col", "cells", F.col("left").alias("left_x"))
+
+
+@query()
+def weighted_r2(s, d):
+    return rows(s, [(inference.weighted_r2(lines(s, d), "l_extendedprice", "l_discount", ["l_tax"], "l_quantity"),)], "r2 double")
+
+
+@query()
+def r2_difference(s, d):
+    f = inference.r2_difference(study(s, d), "y_out", ("price", "orders"), ["c_acctbal"], "c_custkey", 100)
+    return rows(s, [(f["delta"], f["low"], f["high"])], "delta double, low double, high double")
+
+
+@query()
+def variogram_match(s, d):
+    p = suppliers(s, d).withColumnsRenamed({"mx": "x", "my": "y"}).withColumn("one", F.lit(1))
+    observed = spatial.variogram(p, "s_suppkey", "s_acctbal", 3000.0, 6)
+    drawn = spatial.surrogates(p, "one", "s_suppkey", "s_acctbal", 4).join(p.select("s_suppkey", "x", "y"), "s_suppkey")
+    # pairs of a surrogate are those of one draw: the draw is part of the key and set far apart in x
+    apart = drawn.select((F.col("s_suppkey") * 8 + F.col("draw")).alias("k"), (F.col("x") + F.col("draw") * 1e6).alias("x"), "y", "value")
+    gammas = [spatial.variogram(apart.where(F.col("k") % 8 == i), "k", "value", 3000.0, 6).withColumn("draw", F.lit(i)) for i in range(4)]
+    out = gammas[0]
+    for g in gammas[1:]:
+        out = out.unionByName(g)
+    return rounded(grids.variogram_match(observed, out))
+
+
 # statistics core: no SQL, tested in NumPy
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terraloom.operators import exposure, gram, inference, joins, ladder, models, panel, posterior, raster, scoring, search, spatial, splits
+from terraloom.operators import exposure, gram, grids, inference, joins, ladder, models, panel, posterior, raster, scoring, search, spatial, splits
 from terraloom.plans import chains
 from terraloom.sources import tables
 from terraloom.streaming import events
@@ -349,3 +349,31 @@ def test_streaming(spark, tmp_path):
     assert sorted(map(key, live.collect())) == sorted(map(key, still.collect()))
     s = events.run_once(events.sessions(events.read_events(spark, path)), "visits", str(tmp_path / "d"), "append")
     assert s.columns == ["user_id", "start", "end", "n"]
+
+
+def test_grids(spark):
+    pts = frame(spark, [(1, 0.0, 0.0), (2, 15.0, 0.0), (3, 500.0, 0.0)], "k long, x double, y double")
+    cells = grids.clustered_grid(pts, "k", 10.0, 10.0)
+    got = {(r.row, r.col): r.cluster_id for r in cells.collect()}
+    assert got == {(r, c): 1 for r in (-1, 0) for c in (-1, 0, 1)} | {(r, c): 3 for r in (-1, 0) for c in (49, 50)}
+    tiles = grids.planar_tiles(cells, 20.0)
+    assert sorted((r.cluster_id, r.cells) for r in tiles.collect()) == [(1, 2), (1, 4), (3, 4)]
+    assert grids.quadrants(tiles).count() == 12
+
+
+def test_bandwidth():
+    x = np.linspace(0, 10, 200)
+    assert grids.first_crossing(x, 3 - x) == pytest.approx(3) and grids.first_crossing(x, x + 1) is None
+    assert grids.loess(x, x**2, np.array([5.0]))[0] == pytest.approx(25)
+    z = np.random.default_rng(0).uniform(0, 100, (80, 2))
+    b = spatial.thin_plate_basis(z, spatial.covering_knots(z, k=20))
+    weights = grids.smoother_weights(b, np.r_[0, 0, 0, np.ones(b.shape[1] - 3)], 1e-3)
+    width = grids.effective_bandwidth(z, weights)
+    assert width is None or 0 < width < 100
+
+
+def test_weighted(spark, numbers):
+    df, _ = numbers
+    assert inference.weighted_r2(df.withColumn("one", F.lit(2.0)), "y", "e", ["z"], "one") == pytest.approx(scoring.score("r2", df, "y", "e", ["z"]))
+    assert inference.r2_difference(df.withColumn("n", F.rand(1)), "y", ("e", "n"), ["z"], "id", 50)["low"] > 0
+    assert ladder.stat_column("percentile", 25) == "p25" and ladder.stat_column("percentile", 33) is None and ladder.stat_column("median") == "p50"
