@@ -65,6 +65,11 @@ def _transitions() -> tuple[np.ndarray, np.ndarray]:
     return np.array([[q for q, _ in row] for row in table], np.uint8).ravel(), np.array([[b for _, b in row] for row in table], np.uint8).ravel()
 
 
+#: Letters and numbers of Unicode 16, which the tokenizer's library knows and Python's tables may not: first and last of each range.
+LATER_LETTERS = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"
+LATER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+
+
 @lru_cache(1)
 def char_classes() -> np.ndarray:
     """Class of each code point."""
@@ -75,6 +80,9 @@ def char_classes() -> np.ndarray:
             out[i] = LETTER
         elif k == "N":
             out[i] = NUMBER
+    for ranges, k in ((LATER_LETTERS, LETTER), (LATER_NUMBERS, NUMBER)):
+        for a, b in (x.split("-") for x in ranges.split()):
+            out[int(a, 16) : int(b, 16) + 1] = k
     for i in (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
         out[i] = WS
     for chars, k in ((" ", SPACE), ("'", APOS), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):

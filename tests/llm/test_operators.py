@@ -132,6 +132,21 @@ def test_token_counts(spark, docs, monkeypatch):
     assert got == Counter((i, len((t or "").encode()), n) for (i, t, *_), n in zip(ROWS, want))
 
 
+def test_character_classes():
+    """Letters and numbers are those of the library, over all code points."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer
+    classes = token_counts.char_classes()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 10]
+    for prefix, wanted in (("a", token_counts.LETTERS), ("1", {token_counts.NUMBER})):
+        for k in range(0, len(points), 20000):
+            part = points[k : k + 20000]
+            starts = {x[1][0] for x in split.pre_tokenize_str("".join(f"{prefix}{chr(c)}\n" for c in part))}
+            assert [c for i, c in enumerate(part) if (3 * i + 1 not in starts) != (int(classes[c]) in wanted)] == []
+
+
 def test_small_transducer_cache(monkeypatch):
     import public_tokenizers
 
