@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._common import ship
 
 #: Cells and hashes of a fingerprint, words of a paragraph, rows of a range, identifiers sampled for it, characters compared at once.
-CELLS, HASHES, UNIT, RANGE, SAMPLE, SLICE = 24, 3, 8, 4096, 20, 1 << 20
+CELLS, HASHES, UNIT, RANGE, SAMPLE, SLICE = 24, 3, 8, 1024, 20, 1 << 20
 PARAGRAPHS = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
