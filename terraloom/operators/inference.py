@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,13 +95,13 @@ def split_summary(df: DataFrame, by: list[str], value: str, test_share: float, h
     v = F.col(value)
     t = F.avg(v) / F.sqrt(F.var_samp(v) * (1 / F.count(v) + test_share / (1 - test_share)))
     extra = [F.avg(F.col(held).cast("double")).alias("share_holds")] if held else []
-    return df.groupBy(*by).agg(F.count(v).alias("n_splits"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.025)).alias("q025"), F.percentile(v, F.lit(0.975)).alias("q975"), F.min(v).alias("min"), F.max(v).alias("max"), *extra, F.when(F.var_samp(v) > 0, t).alias("corrected_t"))
+    out = df.groupBy(*by).agg(F.count(v).alias("n_splits"), F.percentile(v, F.array(*map(F.lit, (0.5, 0.025, 0.975)))).alias("_p"), F.min(v).alias("min"), F.max(v).alias("max"), *extra, F.when(F.var_samp(v) > 0, t).alias("corrected_t"))
+    named = [F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(("median", "q025", "q975"))]
+    return out.select(*by, "n_splits", *named, "min", "max", *(["share_holds"] if held else []), "corrected_t")
 
 
 def with_t_p(df: DataFrame, t: str, n: str, name: str = "corrected_p") -> DataFrame:
     """Two-sided p of t with n - 1 degrees of freedom; one row for each quantity, so an Arrow function of few rows."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(ts: pd.Series, ns: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(a) or b < 2 else t_two_sided(float(a), float(b) - 1) for a, b in zip(ts, ns)])

@@ -17,10 +17,11 @@ def stat_column(stat: str, percentile: int | None = None) -> str | None:
     return name if name in STATS else None
 
 
-def stats_of(value: Column, places: int | None = 4) -> list[Column]:
-    """Mean and exact linear percentiles of the values that aren't null."""
+def summarise(df: DataFrame, by: list[str], value: Column, places: int | None = 4) -> DataFrame:
+    """(by, n, mean, p10 ... p90): the mean and exact linear percentiles of the values that aren't null. All percentiles share one buffer."""
     cut = (lambda c: F.bround(c, places)) if places is not None else (lambda c: c)
-    return [cut(F.avg(value)).alias("mean"), *(cut(F.percentile(value, F.lit(p))).alias(n) for p, n in zip(SHARES, STATS[1:]))]
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("_m"), F.percentile(value, F.array(*map(F.lit, SHARES))).alias("_p"))
+    return out.select(*by, "n", cut(F.col("_m")).alias("mean"), *(cut(F.get("_p", F.lit(i))).alias(n) for i, n in enumerate(STATS[1:])))
 
 
 def finite(c: Column) -> Column:
@@ -33,7 +34,7 @@ def disc_stats(targets: DataFrame, metric: DataFrame, key: str, value: str, radi
     hold it, and one aggregation serves the whole ladder."""
     pairs = radius_join(targets, metric, max(radii)).select(key, "d", finite(F.col(value).cast("double")).alias("v"))
     rings = F.filter(F.array(*(F.lit(float(r)) for r in sorted(radii))), lambda r: r >= F.col("d"))
-    return pairs.select(key, "v", F.explode(rings).alias("radius")).groupBy(key, "radius").agg(F.count("v").alias("n"), *stats_of(F.col("v"), places))
+    return summarise(pairs.select(key, "v", F.explode(rings).alias("radius")), [key, "radius"], F.col("v"), places)
 
 
 def disc_stats_columns(targets: DataFrame, metric: DataFrame, key: str, values: list[str], radii: list[float]) -> DataFrame:
@@ -42,13 +43,13 @@ def disc_stats_columns(targets: DataFrame, metric: DataFrame, key: str, values:
     rings = F.filter(F.array(*(F.lit(float(r)) for r in sorted(radii))), lambda r: r >= F.col("d"))
     named = F.array(*(F.struct(F.lit(v).alias("channel"), finite(F.col(v).cast("double")).alias("v")) for v in values))
     long = pairs.select(key, F.explode(rings).alias("radius"), named.alias("c")).select(key, "radius", F.explode("c").alias("c")).select(key, "radius", "c.channel", "c.v")
-    return long.groupBy(key, "radius", "channel").agg(F.count("v").alias("n"), *stats_of(F.col("v")))
+    return summarise(long, [key, "radius", "channel"], F.col("v"))
 
 
 def ring_stats(rows: DataFrame, key: str, ring: str, value: str, rings: int) -> DataFrame:
     """Statistics by nested ring number: a value of ring i counts in rings i to the last."""
     spread = rows.select(key, F.col(value).alias("v"), F.explode(F.sequence(F.col(ring), F.lit(rings - 1))).alias("ring"))
-    return spread.groupBy(key, "ring").agg(F.count("v").alias("n"), *stats_of(F.col("v")))
+    return summarise(spread, [key, "ring"], F.col("v"))
 
 
 def collapse(cells: DataFrame, key: str, value: str, weight: str) -> DataFrame:
@@ -72,8 +73,9 @@ def entity_rows(df: DataFrame, key: str, values: list[str], order: str) -> DataF
 
 def distribution(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     v = finite(F.col(value).cast("double"))
-    p = lambda x: F.percentile(v, F.lit(x))
-    return df.groupBy(*by).agg(F.count(v).alias("n"), p(0.5).alias("median"), p(0.25).alias("q25"), p(0.75).alias("q75"), (p(0.75) - p(0.25)).alias("iqr"), p(0.05).alias("p5"), p(0.95).alias("p95"))
+    out = df.groupBy(*by).agg(F.count(v).alias("n"), F.percentile(v, F.array(*map(F.lit, (0.5, 0.25, 0.75, 0.05, 0.95)))).alias("_p"))
+    at = lambda i: F.get("_p", F.lit(i))
+    return out.select(*by, "n", at(0).alias("median"), at(1).alias("q25"), at(2).alias("q75"), (at(2) - at(1)).alias("iqr"), at(3).alias("p5"), at(4).alias("p95"))
 
 
 def dispersion_flags(df: DataFrame, columns: list[str], ratio: float = 20.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ def stage_timing(df: DataFrame, stage: str, seconds: str) -> DataFrame:
 
 def null_summary(df: DataFrame, by: list[str], p: str) -> DataFrame:
     """Share of nulls with p below 0.05, with its exact interval."""
-    import pandas as pd
-
     @F.pandas_udf("low double, high double")
     def exact(hits: pd.Series, n: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([clopper_pearson(int(h), int(m)) for h, m in zip(hits, n)], columns=["low", "high"])
