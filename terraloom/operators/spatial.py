@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.sources.work import written
+
 from .gram import gram, information
 from .joins import radius_join
 
@@ -30,23 +32,24 @@ def near_pairs(points: DataFrame, key: str, reach: float) -> DataFrame:
 
 
 def components(nodes: DataFrame, key: str, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(key, component): least key reachable. Each round takes the least label of the neighbours and then of that label's own node, so the
-    rounds are few; each is checkpointed."""
-    spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terraloom-"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select(F.col(key).alias("k"), F.col(key).alias("label")).checkpoint()
+    """(key, component): least key reachable. Each round hooks every node to its least neighbour, follows these links three times, and puts the nodes that
+    they lead to in place of the edges' ends; so the graph shrinks by a factor in each round, however long its chains. Rounds are written to the
+    shared folder."""
+    edges = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = nodes.select(F.col(key).alias("k"), F.col(key).alias("label"))
     for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "k", "left").select("k", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = step.select(F.col("k").alias("label"), F.col("label").alias("further"))
-        now = step.join(jump, "label").select("k", "old", F.least("label", "further").alias("label")).checkpoint()
-        changed = now.where("old != label").limit(1).count()
-        labels = now.select("k", "label")
-        if not changed:
+        hook = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
+        for _ in range(3):
+            onward = hook.select(F.col("a").alias("p"), F.col("p").alias("further"))
+            hook = written(hook.join(onward, "p", "left").select("a", F.coalesce("further", "p").alias("p")), "hooks")
+        to = lambda end, name: hook.select(F.col("a").alias(end), F.col("p").alias(name))  # noqa: E731, B023
+        labels = written(labels.join(to("label", "p"), "label", "left").select("k", F.coalesce("p", "label").alias("label")), "labels")
+        moved = edges.join(to("a", "pa"), "a").join(to("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        # a node that others lead to may lead on itself: that link stays an edge
+        onward = hook.select(F.col("p").alias("a")).distinct().join(to("a", "b"), "a").select("a", "b")
+        linked = moved.unionByName(onward).where("a != b")
+        edges = written(linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+        if not edges.limit(1).count():
             break
     return labels.select(F.col("k").alias(key), F.col("label").alias("component"))
 

@@ -15,10 +15,30 @@ def draw(key: Column, seed: int = 0) -> Column:
     return F.pmod((key.cast("long") + seed * 7919) % 1000003 * PRIME + STEP, F.lit(MODULUS)) / F.lit(float(MODULUS))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact linear percentiles of a whole column: distinct values are counted and a running sum of the counts finds the ranks that are asked for. No
+    task holds all values, as the buffer of an exact percentile aggregate would."""
+    v = F.col(value).cast("double")
+    counts = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count("*").alias("c"))
+    upto = running(counts, [F.col("v")], F.col("c"), "upto")
+    n = upto.agg(F.max("upto")).first()[0]
+    if not n:
+        return []
+    at = [s * (n - 1) for s in shares]
+    wanted = sorted({int(k) for h in at for k in (h // 1, min(h // 1 + 1, n - 1))})
+    hit = F.exists(F.array(*map(F.lit, wanted)), lambda k: (k >= F.col("upto") - F.col("c")) & (k < F.col("upto")))
+    found = sorted((r.upto, r.v) for r in upto.where(hit).select("upto", "v").collect())  # two for each share at most
+    of = lambda k: next(x for u, x in found if k < u)
+    out = []
+    for h in at:
+        low, high = of(int(h)), of(min(int(h) + 1, n - 1))
+        out.append(low if h == int(h) or low == high else (int(h) + 1 - h) * low + (h - int(h)) * high)
+    return out
+
+
 def cuts(df: DataFrame, value: str, n: int) -> list[float]:
     """Exact percentiles that part the values in n; a handful of numbers for the plan."""
-    got = df.agg(F.percentile(F.col(value), F.array(*(F.lit(i / n) for i in range(n + 1))))).first()[0]
-    return list(got or [])
+    return quantiles(df, value, [i / n for i in range(n + 1)])
 
 
 def qcut(df: DataFrame, value: str, n: int, name: str = "bin") -> DataFrame:

@@ -109,6 +109,10 @@ def test_panel(spark):
 
 def test_splits(spark, numbers):
     df, a = numbers
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
+    assert splits.quantiles(df, "y", shares) == pytest.approx(np.quantile(a[:, 1], shares))
+    assert splits.quantiles(frame(spark, [(1.0,), (1.0,), (None,), (4.0,)], "v double"), "v", [0.0, 0.5, 0.75]) == [1.0, 1.0, 2.5]
+    assert splits.quantiles(df.where("y > 1e9"), "y", [0.5]) == []
     q = splits.qcut(df, "y", 5).groupBy("bin").count().collect()
     assert sorted(r["count"] for r in q) == [120] * 5
     s = splits.stratified_split(df, "id", "y", 0.25).groupBy("bin").agg(F.sum(F.col("test").cast("int")).alias("t")).collect()
