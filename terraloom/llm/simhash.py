@@ -201,9 +201,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near duplicates by similarity: MinHash rows of a band, bands; the radius inside a band's tree; the distance at which two texts are surely
-#: similar; the most rows that one tree takes (a larger bucket is split, and its parts tied together by the bucket's first row).
-ROWS, BANDS, REACH, SURE, TREE = 5, 25, 20, 3, 4096
+#: Near duplicates by similarity: MinHash rows of a band, bands; the radius inside a band's tree; the most rows that one tree takes; the most
+#: rows of a bucket whose pairs are all counted at once; shingles of a part of a bucket, two of which are held against each other.
+ROWS, BANDS, REACH, TREE, SMALL, PART = 5, 25, 20, 4096, 3, 500_000
 _RNG = np.random.default_rng(8)
 _A, _B = _RNG.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
 
@@ -220,27 +220,47 @@ def signature(text: bytes, words: int) -> tuple[int, list[int]]:
     return fp, [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, ROWS * BANDS, ROWS)]
 
 
-def shard_pairs(values: list[int], reach: int = REACH, sure: int = SURE) -> list[tuple[int, int]]:
-    """Pairs of places to compare: each value with its nearest in each group within reach; groups are values that are surely similar."""
-    tree, parent, pairs = BKTree(), list(range(len(values))), []
+def shard_pairs(values: list[int], reach: int = REACH) -> list[tuple[int, int]]:
+    """Pairs of places to count first: all of a small shard; else each value with its nearest before it within reach. Only a start: what they
+    leave unlinked is counted by `block_links`."""
+    if len(values) <= SMALL:
+        return list(combinations(range(len(values)), 2))
+    tree, pairs = BKTree(), []
+    for i, value in enumerate(values):
+        near = tree.within(value, reach)
+        if near:
+            pairs.append((i, min(near, key=lambda j: ((values[j] ^ value).bit_count(), j))))
+        tree.add(value)
+    return pairs
+
+
+def block_links(labels: np.ndarray, parts: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links, by exact count, that span the classes of one block: texts with their labels so far, parts, sizes of their shingle sets and these
+    sets, one after the other. Pairs of one label are linked already; in a block of two parts those of one part are counted elsewhere."""
+    _, group, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    parent, links = list(range(len(counts))), []
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    for i, value in enumerate(values):
-        nearest: dict[int, tuple[int, int]] = {}
-        for j in tree.within(value, reach):
-            d, r = (values[j] ^ value).bit_count(), root(j)
-            if r not in nearest or d < nearest[r][0]:
-                nearest[r] = d, j
-        for d, j in nearest.values():
-            pairs.append((i, j))
-            if d <= sure:
-                parent[root(i)] = root(j)
-        tree.add(value)
-    return pairs
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    values, owner = shingles[order], owner[order]
+    starts = np.cumsum(sizes) - sizes
+    two = parts.min() != parts.max()
+    # a pair of two labels has a text outside the commonest label
+    for i in np.flatnonzero(group != counts.argmax()).tolist():
+        own = shingles[starts[i] : starts[i] + sizes[i]]
+        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        n = high - low
+        common = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sizes))
+        for j in np.flatnonzero((common > 0) & (common >= similarity * (sizes + sizes[i] - common)) & ((parts != parts[i]) if two else True)).tolist():
+            if (x := root(group[i])) != (y := root(group[j])):
+                parent[x] = y
+                links.append((i, j))
+    return links
 
 
 def signatures(docs: DataFrame, words: int, row: str, text_col: str) -> DataFrame:
@@ -256,14 +276,18 @@ def signatures(docs: DataFrame, words: int, row: str, text_col: str) -> DataFram
     return materialise(chosen.mapInArrow(sign, "row string, fp long, bands array<long>").withColumn("number", F.monotonically_increasing_id()), "bands")
 
 
-def near_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of numbers of rows that may be similar: each in one tree of a band's bucket."""
+def bucket_rows(signed: DataFrame) -> DataFrame:
+    """band, value, n, first, fp, number of the rows of buckets of two or more."""
     rows = signed.select("number", "fp", F.posexplode("bands").alias("band", "value"))
     buckets = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("number").alias("first")).where("n > 1")
-    shards = attach(rows, buckets, ["band", "value"], F.col("number")).where("n > 1")
-    hot = shards.where((F.col("n") > TREE) & (F.col("number") != F.col("first"))).select(F.col("number").alias("a"), F.col("first").alias("b"))
-    shards = shards.withColumn("part", F.when(F.col("n") > TREE, F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / TREE))).otherwise(F.lit(0)).cast("long"))
-    shards = shards.select(F.col("band").cast("long").alias("band"), "value", "part", "fp", "number").repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "number")
+    return materialise(attach(rows, buckets, ["band", "value"], F.col("number")).where("n > 1").select(F.col("band").cast("long").alias("band"), "value", "n", "first", "fp", "number"), "buckets")
+
+
+def near_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of numbers of rows to count first: each in one tree of a band's bucket, or a hot bucket's row and its first."""
+    hot = rows.where((F.col("n") > TREE) & (F.col("number") != F.col("first"))).select(F.col("number").alias("a"), F.col("first").alias("b"))
+    shards = rows.withColumn("part", F.when(F.col("n") > TREE, F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / TREE))).otherwise(F.lit(0)).cast("long"))
+    shards = shards.select("band", "value", "part", "fp", "number").repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "number")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((5, 0), np.int64)
@@ -306,24 +330,72 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return chosen.mapInArrow(run, "number long, shingles array<long>")
 
 
+def further_links(rows: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among the bucket mates that aren't linked yet, so that no pair of a bucket is left out: each bucket of several labels is
+    divided into parts of about PART shingles, and each two parts (and each part and itself) are a block, counted exactly in one task."""
+    sizes = sets.select("number", F.size("shingles").alias("size")).where("size > 0")
+    # all pairs of a small bucket are counted already
+    mates = rows.where((F.col("n") > SMALL) | (F.col("n") > TREE)).select("band", "value", "number").join(sizes, "number")
+    mates = mates.join(labels.withColumnRenamed("node", "number"), "number", "left").withColumn("label", F.coalesce("label", "number"))
+    open_ = mates.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.sum("size") / PART).alias("parts")).where("low < high")
+    mates = attach(mates, open_.select("band", "value", "parts"), ["band", "value"], F.col("number")).where(F.col("parts").isNotNull())
+    mates = mates.withColumn("part", F.pmod(F.xxhash64("number"), F.col("parts")))
+    both = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j"))))
+    blocks = mates.select("band", "value", "number", "label", "part", both.alias("block")).select("band", "value", "block.i", "block.j", "number", "label", "part")
+    blocks = blocks.join(sets, "number").select("band", "value", "i", "j", "number", "label", "part", "shingles").repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in _with_end(batches):
+            if batch is None:
+                runs = [(None, None)]
+            elif not batch.num_rows:
+                continue
+            else:
+                keys = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]])
+                new = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])).tolist()
+                runs = [(tuple(keys[:, a].tolist()), batch.slice(a, b - a)) for a, b in zip(new, [*new[1:], batch.num_rows])]
+            for now, part in runs:
+                if now != key and held:
+                    block = pa.Table.from_batches(held).combine_chunks()
+                    numbers, marks, parts = (block.column(k).to_numpy() for k in ("number", "label", "part"))
+                    lists = block.column("shingles").combine_chunks()
+                    found = block_links(marks, parts, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), similarity)
+                    held = []
+                    if found:
+                        a, b = np.array(found).T
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers[a], pa.int64()), pa.array(numbers[b], pa.int64())], ["a", "b"])
+                key = now
+                if part is not None:
+                    held.append(part)
+
+    return blocks.mapInArrow(count, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, row: str, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """(node, label) of the rows (key `row`, a string) that are linked to others: Jaccard similarity of the word shingles at or above
-    `similarity`, counted exactly for each candidate pair.
+    `similarity`, counted exactly.
 
-    At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits, which no sharding by equal blocks of bits can follow; so here the
-    shards are buckets of MinHash bands (25 of 5 rows: a pair at 0.8 shares none in 1 of 20,000 cases), each with a tree of the fingerprints of
-    its rows, searched within REACH bits. Texts without a word are never linked."""
+    At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits (more, where shingles are repeated), which no sharding by equal
+    blocks of bits can follow; so here the shards are buckets of MinHash bands (25 of 5 rows: a pair at 0.8 shares none in 1 of 20,000 cases).
+    In each a tree of the fingerprints gives the pairs that are counted first; then all pairs of a bucket that these haven't linked are counted
+    too. Texts without a word are never linked."""
     signed = signatures(docs, words, row, text_col)
-    pairs = materialise(near_pairs(signed), "pairs")
-    wanted = pairs.select(F.col("a").alias("number")).unionByName(pairs.select(F.col("b").alias("number"))).distinct()
-    named = materialise(signed.select("number", "row").join(wanted, "number", "left_semi"), "named")
+    rows = bucket_rows(signed)
+    pairs = materialise(near_pairs(rows), "pairs")
+    named = materialise(signed.select("number", "row").join(rows.select("number").distinct(), "number", "left_semi"), "named")
+    discard(signed)
     texts = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(named, "row").select("number", "text")
     sets = materialise(shingle_sets(texts, words), "shingles")
     both = pairs.join(sets.select(F.col("number").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("number").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.where((common > 0) & (common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))).select("a", "b")
-    labels = materialise(components(alike).join(named.withColumnRenamed("number", "node"), "node").select(F.col("row").alias("node"), "label"), "near")
-    for table in (signed, pairs, sets):
+    labels = materialise(components(alike), "first-labels")
+    further = materialise(further_links(rows, labels, sets, similarity), "further")
+    if not further.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(further))
+    labels = materialise(labels.join(named.withColumnRenamed("number", "node"), "node").select(F.col("row").alias("node"), "label"), "near")
+    for table in (rows, pairs, sets, further):
         discard(table)
     release(docs.sparkSession)
     return labels

@@ -378,6 +378,38 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert simhash.keep_one(docs).count() == len({re.sub(r"\s+", " ", (t or "").lower()).strip() or i for i, t, *_ in ROWS})
 
 
+def kept_by_brute_force(rows, similarity=0.8):
+    def grams(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [grams(t) for _, t in rows]
+    roots = brute_components(range(len(rows)), lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
+    first = {}
+    for k, r in roots.items():
+        first[r] = min(first.get(r, rows[k][0]), rows[k][0])
+    return sorted(first.values())
+
+
+def repeated_line_rows():
+    rng, rows = random.Random(21), []
+    for i in range(12):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+        rows += [(2 * i, text), (2 * i + 1, text + "\n" + " ".join([" ".join(f"r{rng.randrange(10**6)}" for _ in range(10))] * 100))]
+    return rows
+
+
+def test_near_duplicates_of_far_fingerprints(spark, monkeypatch):
+    rows = repeated_line_rows()
+    far = [(simhash.signature(a.encode(), 5)[0] ^ simhash.signature(b.encode(), 5)[0]) & (1 << 64) - 1 for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert max(v.bit_count() for v in far) > simhash.REACH
+    want = kept_by_brute_force(rows)
+    assert want == list(range(0, 24, 2))
+    for small in (simhash.SMALL, 1):  # pairs of small buckets; blocks
+        monkeypatch.setattr(simhash, "SMALL", small)
+        assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 # 10
 
 
