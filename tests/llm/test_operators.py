@@ -410,6 +410,34 @@ def test_near_duplicates_of_far_fingerprints(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
+def light_and_heavy_edits(seed, words=800, variants=20, edits=2):
+    """A base, variants of light edits, and one text just over the threshold to the base alone."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+
+    def edit(places):
+        w = list(base)
+        for p in places:
+            w[p] = f"e{rng.randrange(10**6)}"
+        return " ".join(w)
+
+    n, heavy = words - 4, 0
+    while (n - 5 * (heavy + 1)) / (n + 5 * (heavy + 1)) >= 0.8:
+        heavy += 1
+    out = [" ".join(base)] + [edit(rng.sample(range(5, words - 5), edits)) for _ in range(variants)]
+    heavy_text = edit(rng.sample(range(5, words - 5, 6), heavy))
+    out.insert(rng.randrange(len(out) + 1), heavy_text)
+    return out
+
+
+def test_near_duplicates_beyond_the_nearest(spark):
+    # in these families the nearest by fingerprint is under the threshold, and another member over it
+    rows = list(enumerate(t for seed in (2, 3, 5, 15) for t in light_and_heavy_edits(seed)))
+    want = kept_by_brute_force(rows)
+    assert len(want) == 4
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 # 10
 
 
