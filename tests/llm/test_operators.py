@@ -438,6 +438,14 @@ def test_near_duplicates_beyond_the_nearest(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
+def test_near_duplicates_in_split_buckets(spark, monkeypatch):
+    rows = list(enumerate(t for seed in (2, 3) for t in light_and_heavy_edits(seed)))
+    want = kept_by_brute_force(rows)
+    monkeypatch.setattr(simhash, "TREE", 3)
+    monkeypatch.setattr(simhash, "PART", 4000)
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 # 10
 
 
