@@ -182,6 +182,20 @@ def test_scores(spark, numbers):
         scoring.score("odd", df, "y", "e")
 
 
+def test_distance_correlation_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    for n in (3, 4, 37, 500):
+        x, z = np.round(rng.normal(size=n), 1), rng.normal(size=n)
+        y = x**2 + np.round(rng.normal(size=n), 1)
+        assert scoring.fast_distance_correlation(x, y) == pytest.approx(scoring.distance_correlation(x, y))
+        assert scoring.fast_partial_distance_correlation(x, y, z) == pytest.approx(scoring.partial_distance_correlation(x, y, z))
+    assert scoring.fast_distance_correlation(x, np.ones(n)) == 0
+    df = spark.range(scoring.PAIR_ROWS + 500).selectExpr("cast(id as double) as x", "cast(id * id as double) as y", "sin(id) as z")
+    v = np.array([list(r) for r in df.collect()])
+    assert scoring.score("distance", df, "y", "x") == pytest.approx(scoring.distance_correlation(v[:, 0], v[:, 1]))
+    assert abs(scoring.score("distance", df, "y", "x", ["z"])) <= 1
+
+
 def test_inference(spark, numbers):
     df, a = numbers
     b = inference.bootstrap_ci(df, "y", "e", ["z"], "id", 200)
