@@ -4,8 +4,9 @@ A document falls into a cell of source, language and topic; values that the targ
 of each cell, with the partial sums on the map side, so a source that holds a third of all rows is a few rows after it. There are never more
 cells than the product of the targets' sizes, a parameter, so the cells may go to the driver, where raking scales them to each marginal in
 turn until all fit; marginals that no document falls into are left out and the others scaled up. The factors go back as literals of one map.
-Each document's probability is its cell's factor, scaled so that BUDGET of the tokens are kept on average (probabilities over 1 are cut and
-the rest scaled again); it is sampled if the hash of its identifier and text, as a number from 0 to 1, is less. Hence a row's fate depends on
+Each document's probability is its cell's factor, scaled so that BUDGET of the tokens are kept on average; where that is over 1 the cells are
+raked again with 1 as the most, so a level with too few tokens is kept whole and the others share the rest by their targets. `shares` reports
+what was reached. A document is sampled if the hash of its identifier and text, as a number from 0 to 1, is less. Hence a row's fate depends on
 no other row's order, and is the same in each run. Tokens are what single white-space characters (space, line end, tab) separate.
 
 Cases: a null or empty text has 0 tokens and its cell's probability; a null source or language falls into `*`; an empty table stays empty;
@@ -74,20 +75,53 @@ def rake(tokens_of: dict[tuple, float], targets: dict[str, dict[str, float]]) ->
     return {cell: float(factor[tuple(levels[i].index(v) for i, v in enumerate(cell))]) if n else 1.0 for cell, n in tokens_of.items()}
 
 
+def reachable(most: np.ndarray, goal: np.ndarray, kept: float) -> np.ndarray:
+    """Tokens to keep of each level: the goal's shares of `kept`, none over `most`; what a level lacks goes to the others by their shares."""
+    out, open_ = np.zeros_like(most), most > 0
+    while open_.any() and kept - out.sum() > CLOSE * kept:
+        share = np.where(open_, np.maximum(goal, 1e-12), 0.0)
+        out = np.minimum(most, out + share / share.sum() * (kept - out.sum()))
+        open_ &= out < most * (1 - 1e-12)
+    return out
+
+
 def calibrate(tokens_of: dict[tuple, float], factors: dict[tuple, float], budget: float) -> dict[tuple, float]:
-    """Probability of each cell: its factor times a number, at most 1, such that `budget` of the tokens are kept on average."""
-    wanted, total = budget * sum(tokens_of.values()), sum(tokens_of.values())
-    high = 1.0
-    if not total:
-        return {c: min(1.0, budget * f) for c, f in factors.items()}
-    kept = lambda c: sum(n * min(1.0, c * factors[k]) for k, n in tokens_of.items())
-    while kept(high) < wanted * (1 - 1e-12) and high < 1e12:
+    """Probability of each cell, at most 1, such that `budget` of the tokens are kept on average. Where no factor is cut it is the factor times
+    a number; else the cells are raked again under the cap, to the factors' shares of each marginal as far as its tokens go."""
+    total = sum(tokens_of.values())
+    if not total or budget <= 0:
+        return {c: max(0.0, min(1.0, budget * f)) for c, f in factors.items()}
+    cells = list(tokens_of)
+    n, f = np.array([tokens_of[c] for c in cells], float), np.array([factors[c] for c in cells])
+    chance = budget * f
+    if (chance[n > 0] > 1).any() and budget < 1:
+        axes = [np.unique([c[i] for c in cells], return_inverse=True)[1] for i in range(len(cells[0]))]
+        goals = [reachable(np.bincount(a, n), np.bincount(a, n * f) / total, budget * total) for a in axes]
+        chance = np.minimum(chance, 1.0)
+        for _ in range(ROUNDS):
+            off = 0.0
+            for a, goal in zip(axes, goals):
+                off = max(off, float(np.abs(np.bincount(a, n * chance) - goal).max()) / total)
+                for level, wanted in enumerate(goal):
+                    at = np.flatnonzero((a == level) & (n > 0))
+                    if len(at):
+                        chance[at] = capped(n[at], chance[at], wanted)
+            if off < CLOSE:
+                break
+    return {c: float(min(1.0, p)) for c, p in zip(cells, capped(n, chance, budget * total))}
+
+
+def capped(n: np.ndarray, chance: np.ndarray, wanted: float) -> np.ndarray:
+    """Chances scaled alike and cut at 1 such that `wanted` of the tokens n are kept, or as many as can be."""
+    if not (n * chance).sum():
+        return chance
+    low, high = 0.0, 1.0
+    while (n * np.minimum(1.0, high * chance)).sum() < wanted * (1 - 1e-12) and high < 1e12:
         high *= 2
-    low = 0.0
     for _ in range(100):
         middle = (low + high) / 2
-        low, high = (middle, high) if kept(middle) < wanted else (low, middle)
-    return {c: min(1.0, high * f) for c, f in factors.items()}
+        low, high = (middle, high) if (n * np.minimum(1.0, middle * chance)).sum() < wanted else (low, middle)
+    return np.minimum(1.0, high * chance)
 
 
 def weighted(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -110,6 +144,17 @@ def weighted(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, bu
     return coded.withColumn("__mix", F.struct("__mix.*", found["weight"].alias("weight"), found["probability"].alias("probability"), (draw < found["probability"]).alias("sampled")))
 
 
+def shares(mixed: DataFrame, targets: dict[str, dict[str, float]] = TARGETS) -> DataFrame:
+    """marginal, level, target, given, reached: shares of the tokens of a `weighted` table, before and after sampling."""
+    out = []
+    for name in targets:
+        level = F.col(f"__mix.{name}")
+        sums = mixed.groupBy(level.alias("level")).agg(F.sum("__mix.tokens").alias("given"), F.sum(F.when(F.col("__mix.sampled"), F.col("__mix.tokens")).otherwise(0)).alias("reached"))
+        out += [(name, r.level, float(targets[name].get(r.level, 0.0)), r.given, r.reached) for r in sums.collect()]
+    total = {n: [sum(r[k] for r in out if r[0] == n) or 1 for k in (3, 4)] for n in targets}
+    return mixed.sparkSession.createDataFrame([(n, v, t, g / total[n][0], r / total[n][1]) for n, v, t, g, r in out], "marginal string, level string, target double, given double, reached double")
+
+
 def draw(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """docs, all columns, of the sampled rows."""
     return weighted(docs, targets, budget).where("__mix.sampled").select(*map(col, docs.columns))

@@ -246,6 +246,18 @@ def test_raking_fits_marginals():
     assert mixing.rake({}, targets) == {} and mixing.rake({("a", "en", "x"): 0}, targets) == {("a", "en", "x"): 1.0}
 
 
+def test_calibration_rakes_again_under_the_cap():
+    targets = {"source": {"a": 0.2, "*": 0.8}, "lang": {"en": 0.55, "de": 0.4, "*": 0.05}}
+    cells = {("a", "en"): 100.0, ("a", "de"): 5.0, ("a", "*"): 5.0, ("*", "en"): 500.0, ("*", "de"): 300.0, ("*", "*"): 90.0}
+    chance = mixing.calibrate(cells, mixing.rake(cells, targets), 0.6)
+    kept = {c: n * chance[c] for c, n in cells.items()}
+    assert all(0 <= p <= 1 for p in chance.values()) and sum(kept.values()) == pytest.approx(600, abs=1e-4)
+    # source a has 110 tokens where 120 are wanted: all are kept, and the languages still have their shares
+    assert sum(n for c, n in kept.items() if c[0] == "a") == pytest.approx(110, abs=1e-3)
+    for lang, share in targets["lang"].items():
+        assert sum(n for c, n in kept.items() if c[1] == lang) / 600 == pytest.approx(share, abs=1e-5)
+
+
 # 7
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
