@@ -175,8 +175,11 @@ def identify(docs: DataFrame, model: tuple[tuple[str, str], ...], keep: list[str
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs, all columns, without those whose language can't be told (no letters, or nothing to learn from)."""
-    verdicts = identify(docs, sample(docs), docs.columns, mark="__identified_")
+    """docs, all columns, without those that are null or have no letter. Where there is nothing to learn from, that is told from the text."""
+    model = sample(docs)
+    if not model:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    verdicts = identify(docs, model, docs.columns, mark="__identified_")
     return verdicts.where(F.col("__identified_lang_pred") != "und").select(*map(col, docs.columns))
 
 

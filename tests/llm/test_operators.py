@@ -492,3 +492,9 @@ def test_cross_parsing_counts_longest_matches():
         move = int(model.tables[0][state * model.width + c])
         state, ends = move >> 2, ends + (move & 3)
     assert ends + (state > 0) == phrases
+
+
+def test_keep_known_without_labels(spark):
+    rows = [(1, "some words", None), (2, None, None), (3, "12 - 3", None), (4, "été", None), (5, "", None)]
+    out = language_id.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert out.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in out.collect()) == [1, 4]
