@@ -137,38 +137,56 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     shards = shards.repartition("choice", "shared").sortWithinPartitions("choice", "shared")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
-        for batch in _with_end(batches):
-            if batch is not None:
-                held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns)]
-            choice, shared, fp = held
-            if not len(fp):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], (choice[1:] != choice[:-1]) | (shared[1:] != shared[:-1])]))
-            ends = np.append(new[1:], len(fp))
-            if batch is not None:  # the last shard may go on in the next batch
-                new, ends = new[:-1], ends[:-1]
+        for held in whole_runs(batches, 2):
             a, b = [], []
-            for i in np.flatnonzero(ends - new > 1):
-                values = fp[new[i] : ends[i]].tolist()
+            for start, end in runs(held, 2):
+                values = held[2, start:end].tolist()
                 for x, y in shard_links([v & 0xFFFFFFFFFFFFFFFF for v in values], radius):
                     a.append(values[x])
                     b.append(values[y])
-            held = [h[ends[-1] :] if len(ends) else h for h in held]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return shards.mapInArrow(run, "a long, b long")
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[np.ndarray]:
+    """The columns of sorted batches (all whole numbers) as rows of an array, so that rows of one key, the first `keys` columns, stay together.
+    Of a run that goes on, the batches are held as they came and put together once."""
+    open_: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        cuts = np.flatnonzero((now[:keys, 1:] != now[:keys, :-1]).any(axis=0)) + 1
+        if open_ and (open_[-1][:keys, -1] != now[:keys, 0]).any():
+            cuts = np.append(0, cuts)
+        if len(cuts):
+            whole = np.concatenate([*open_, now[:, : cuts[-1]]], axis=1)
+            open_, now = [], now[:, cuts[-1] :]
+            if whole.shape[1]:
+                yield whole
+        open_.append(now)
+    if open_:
+        yield np.concatenate(open_, axis=1)
+
+
+def runs(held: np.ndarray, keys: int) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of two or more rows of one key."""
+    starts = np.flatnonzero(np.concatenate([[True], (held[:keys, 1:] != held[:keys, :-1]).any(axis=0)]))
+    ends = np.append(starts[1:], held.shape[1])
+    for i in np.flatnonzero(ends - starts > 1):
+        yield int(starts[i]), int(ends[i])
+
+
 def _with_end(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of the connected components of (a, b); label is the least node; only nodes with edges. Alternating large-star and
-    small-star; hot nodes are salted."""
+    """(node, label) of the connected components of (a, b), a written table; label is the least node; only nodes with edges. Alternating
+    large-star and small-star; hot nodes are salted."""
     now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
@@ -177,12 +195,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = attach(both, least, ["u"], F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = attach(large, least, ["u"], F.col("v")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).collect()[0]
         if state == seen:
             break
         seen = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = materialise(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "components")
+    discard(now)
+    return out
 
 
 def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,6 +213,7 @@ def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
     labels = components(links(distinct.select("fp")))
     labelled = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     labelled = materialise(labelled, "labels")
+    discard(labels)
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     return attach(rows, attach(labelled, least, ["label"], F.col("fp")).select("fp", "component_id"), ["fp"], F.col("id"))
 
@@ -277,38 +299,32 @@ def signatures(docs: DataFrame, words: int, row: str, text_col: str) -> DataFram
 
 
 def bucket_rows(signed: DataFrame) -> DataFrame:
-    """band, value, n, first, fp, number of the rows of buckets of two or more."""
-    rows = signed.select("number", "fp", F.posexplode("bands").alias("band", "value"))
-    buckets = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("number").alias("first")).where("n > 1")
-    return materialise(attach(rows, buckets, ["band", "value"], F.col("number")).where("n > 1").select(F.col("band").cast("long").alias("band"), "value", "n", "first", "fp", "number"), "buckets")
+    """value (a band's, of its own seed, so the band is in it), n, first, fp, number of the rows of buckets of two or more.
+
+    Most values occur once, so they are counted first, by partial sums, and only values of several rows are joined back; the row side of that
+    join is split by adaptive execution where one value holds a large share, the other has one row a value."""
+    rows = signed.select("number", F.explode("bands").alias("value"))
+    buckets = materialise(rows.groupBy("value").agg(F.count("*").alias("n"), F.min("number").alias("first")).where("n > 1"), "values")
+    mates = rows.join(buckets.hint("merge"), "value")
+    out = materialise(mates.join(signed.select("number", "fp").hint("merge"), "number").select("value", "n", "first", "fp", "number"), "buckets")
+    discard(buckets)
+    return out
 
 
 def near_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of numbers of rows to count first: each in one tree of a band's bucket, or a hot bucket's row and its first."""
+    """Distinct pairs (a, b) of numbers of rows to count first: each in one tree of a bucket, or a hot bucket's row and its first."""
     hot = rows.where((F.col("n") > TREE) & (F.col("number") != F.col("first"))).select(F.col("number").alias("a"), F.col("first").alias("b"))
     shards = rows.withColumn("part", F.when(F.col("n") > TREE, F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / TREE))).otherwise(F.lit(0)).cast("long"))
-    shards = shards.select("band", "value", "part", "fp", "number").repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "number")
+    shards = shards.select("value", "part", "fp", "number").repartition("value", "part").sortWithinPartitions("value", "part", "number")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((5, 0), np.int64)
-        for batch in _with_end(batches):
-            if batch is not None:
-                held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-            if not held.shape[1]:
-                continue
-            new = np.flatnonzero(np.concatenate([[True], (held[:3, 1:] != held[:3, :-1]).any(axis=0)]))
-            ends = np.append(new[1:], held.shape[1])
-            if batch is not None:  # the last bucket may go on in the next batch
-                new, ends = new[:-1], ends[:-1]
+        for held in whole_runs(batches, 2):
             a, b = [], []
-            for s, e in zip(new.tolist(), ends.tolist()):
-                if e - s > 1:
-                    numbers = held[4, s:e].tolist()
-                    for x, y in shard_pairs([v & 0xFFFFFFFFFFFFFFFF for v in held[3, s:e].tolist()]):
-                        a.append(numbers[x])
-                        b.append(numbers[y])
-            if len(ends):
-                held = held[:, ends[-1] :]
+            for start, end in runs(held, 2):
+                numbers = held[3, start:end].tolist()
+                for x, y in shard_pairs([v & 0xFFFFFFFFFFFFFFFF for v in held[2, start:end].tolist()]):
+                    a.append(numbers[x])
+                    b.append(numbers[y])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -331,36 +347,46 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def further_links(rows: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) among the bucket mates that aren't linked yet, so that no pair of a bucket is left out: each bucket of several labels is
-    divided into parts of about PART shingles, and each two parts (and each part and itself) are a block, counted exactly in one task."""
-    sizes = sets.select("number", F.size("shingles").alias("size")).where("size > 0")
+    """Links (a, b) among the bucket mates that aren't linked yet, so that no pair of a bucket is left out.
+
+    In each bucket of several labels the texts of the label with the most shingles are its core, all others its rest. Core and rest are divided
+    into parts of about PART shingles; a block is two parts of the rest (or one and itself), or a part of the rest and one of the core, and is
+    counted exactly in one task. So a text of the core goes to as many tasks as the rest has parts, one mostly, however large the core is."""
+    sizes = sets.select("number", F.size("shingles").cast("long").alias("size")).where("size > 0")
     # all pairs of a small bucket are counted already
-    mates = rows.where((F.col("n") > SMALL) | (F.col("n") > TREE)).select("band", "value", "number").join(sizes, "number")
+    mates = rows.where((F.col("n") > SMALL) | (F.col("n") > TREE)).select("value", "number").join(sizes, "number")
     mates = mates.join(labels.withColumnRenamed("node", "number"), "number", "left").withColumn("label", F.coalesce("label", "number"))
-    open_ = mates.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.sum("size") / PART).alias("parts")).where("low < high")
-    mates = attach(mates, open_.select("band", "value", "parts"), ["band", "value"], F.col("number")).where(F.col("parts").isNotNull())
-    mates = mates.withColumn("part", F.pmod(F.xxhash64("number"), F.col("parts")))
-    both = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j"))))
-    blocks = mates.select("band", "value", "number", "label", "part", both.alias("block")).select("band", "value", "block.i", "block.j", "number", "label", "part")
-    blocks = blocks.join(sets, "number").select("band", "value", "i", "j", "number", "label", "part", "shingles").repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
+    held = mates.groupBy("value", "label").agg(F.sum("size").alias("size"))
+    open_ = held.groupBy("value").agg(F.max(F.struct("size", "label")).alias("core"), F.sum("size").alias("total"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = open_.select("value", F.col("core.label").alias("core"), F.ceil(F.col("core.size") / PART).alias("cores"), F.ceil((F.col("total") - F.col("core.size")) / PART).alias("rests"))
+    mates = attach(mates, open_, ["value"], F.col("number")).where(F.col("core").isNotNull())
+    apart = F.col("label") != F.col("core")
+    # parts of the rest are 0, 1, ..., those of the core -1, -2, ...
+    mates = mates.withColumn("part", F.when(apart, F.pmod(F.xxhash64("number"), F.col("rests"))).otherwise(-1 - F.pmod(F.xxhash64("number"), F.col("cores"))))
+    rests, cores = (F.sequence(F.lit(0).cast("long"), F.col(k) - 1) for k in ("rests", "cores"))
+    block = lambda i, j: F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
+    own = F.col("part")
+    both = F.when(apart, F.concat(F.transform(rests, lambda k: block(own, k)), F.transform(cores, lambda k: block(own, -1 - k)))).otherwise(F.transform(rests, lambda k: block(own, k)))
+    blocks = mates.select("value", "number", "label", "part", F.explode(both).alias("block")).select("value", "block.i", "block.j", "number", "label", "part")
+    blocks = blocks.join(sets, "number").select("value", "i", "j", "number", "label", "part", "shingles").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in _with_end(batches):
             if batch is None:
-                runs = [(None, None)]
+                parted = [(None, None)]
             elif not batch.num_rows:
                 continue
             else:
-                keys = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]])
+                keys = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]])
                 new = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])).tolist()
-                runs = [(tuple(keys[:, a].tolist()), batch.slice(a, b - a)) for a, b in zip(new, [*new[1:], batch.num_rows])]
-            for now, part in runs:
+                parted = [(tuple(keys[:, a].tolist()), batch.slice(a, b - a)) for a, b in zip(new, [*new[1:], batch.num_rows])]
+            for now, part in parted:
                 if now != key and held:
                     block = pa.Table.from_batches(held).combine_chunks()
                     numbers, marks, parts = (block.column(k).to_numpy() for k in ("number", "label", "part"))
                     lists = block.column("shingles").combine_chunks()
-                    found = block_links(marks, parts, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), similarity)
+                    found = block_links(marks, parts, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), similarity) if key[1] == key[2] or parts.min() != parts.max() else []
                     held = []
                     if found:
                         a, b = np.array(found).T
@@ -385,20 +411,24 @@ def near_duplicates(docs: DataFrame, row: str, words: int = 5, similarity: float
     pairs = materialise(near_pairs(rows), "pairs")
     named = materialise(signed.select("number", "row").join(rows.select("number").distinct(), "number", "left_semi"), "named")
     discard(signed)
-    texts = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(named, "row").select("number", "text")
+    # whole texts move once, at any size of the other side; what a task holds of that is locators
+    texts = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(named.hint("shuffle_hash"), "row").select("number", "text")
     sets = materialise(shingle_sets(texts, words), "shingles")
-    both = pairs.join(sets.select(F.col("number").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("number").alias("b"), F.col("shingles").alias("y")), "b")
+    # a text that many are compared with is spread over salts
+    both = attach(pairs, sets.select(F.col("number").alias("b"), F.col("shingles").alias("y")), ["b"], F.col("a")).join(sets.select(F.col("number").alias("a"), F.col("shingles").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.where((common > 0) & (common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))).select("a", "b")
-    labels = materialise(components(alike), "first-labels")
+    first = labels = components(alike)
     further = materialise(further_links(rows, labels, sets, similarity), "further")
+    for table in (rows, pairs, sets):
+        discard(table)
     if not further.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(further))
-    labels = materialise(labels.join(named.withColumnRenamed("number", "node"), "node").select(F.col("row").alias("node"), "label"), "near")
-    for table in (rows, pairs, sets, further):
+    out = materialise(labels.join(named.withColumnRenamed("number", "node"), "node").select(F.col("row").alias("node"), "label"), "near")
+    for table in (first, labels, further, named):
         discard(table)
     release(docs.sparkSession)
-    return labels
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -413,4 +443,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = attach(members, first, ["label"], F.col(LOCATOR)).where(F.col(f"first.{LOCATOR}") != F.col(LOCATOR)).select(LOCATOR)
     gone = materialise(gone, "near-copies")
     release(docs.sparkSession)
-    return located.join(gone, LOCATOR, "left_anti").select(*map(col, docs.columns))
+    return located.join(gone.hint("shuffle_hash"), LOCATOR, "left_anti").select(*map(col, docs.columns))

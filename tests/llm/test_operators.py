@@ -386,7 +386,7 @@ def test_near_duplicates(spark, docs, monkeypatch):
         out = simhash.keep_one(df)
         assert out.columns == df.columns
         got = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
-        assert got == want if tree > 3 else set(got) >= set(want)
+        assert got == want
     assert simhash.keep_one(docs).count() == len({re.sub(r"\s+", " ", (t or "").lower()).strip() or i for i, t, *_ in ROWS})
 
 
