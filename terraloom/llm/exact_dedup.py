@@ -40,7 +40,8 @@ def with_locator(docs: DataFrame) -> DataFrame:
 
 class ExactDedupState:
     """State in the folder `path`: arrivals, representatives and variants, each a Parquet table with one folder for each batch, which a
-    repeated batch overwrites (so each batch counts once)."""
+    repeated batch overwrites (so each batch counts once). `content` is where the texts of earlier batches can be read by their locators; a
+    second batch can't be taken without it, and a locator that it doesn't have is an error."""
 
     def __init__(self, spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", content: DataFrame | None = None, digest: Callable[[Column], Column] = sha256, salts: int = SALTS):
         self.spark, self.path, self.id_col, self.text_col, self.content, self.digest, self.salts = spark, path, id_col, text_col, content, digest, salts
@@ -68,9 +69,11 @@ class ExactDedupState:
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; batch has the locator column (with_locator). Fit for foreachBatch."""
         rows = self._rows(batch)
+        known = self._earlier("representatives", batch_id)
+        if known is not None and self.content is None:
+            raise ValueError("after the first batch, texts are compared with earlier ones: give `content`, the rows with their locators")
         arrivals = self._write(rows.select("id", "locator", "digest"), "arrivals", batch_id)
         groups = arrivals.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "locator")).alias("last"), F.collect_set(salt(F.col("locator"), self.salts)).alias("salts"))
-        known = self._earlier("representatives", batch_id)
         if known is None:
             joined = groups.select("digest", "n", "salts", F.col("last.locator").alias("rep"), F.lit(False).alias("old"))
         else:
@@ -82,12 +85,13 @@ class ExactDedupState:
         # whole texts of the hits alone; each is then compared with its representative's
         held = materialise(rows.withColumn("salt", salt(F.col("locator"), self.salts)).join(spread, ["digest", "salt"]), "hits")
         stored = held.where(F.col("locator") == F.col("rep")).select("digest", F.explode("salts").alias("salt"), F.col("text").alias("stored"))
-        if known is not None and self.content is not None:
+        if known is not None:
             old = self._rows(self.content).select("locator", F.col("text").alias("stored"))
             wanted = hits.where("old").select("digest", "salts", F.col("rep").alias("locator"))
             stored = stored.unionByName(old.join(wanted, "locator").select("digest", F.explode("salts").alias("salt"), "stored"))
         checked = held.where(F.col("locator") != F.col("rep")).join(stored, ["digest", "salt"], "left")
-        self._write(checked.where(~F.col("text").eqNullSafe(F.col("stored"))).select("locator", "digest", F.col("text").alias("variant")), "variants", batch_id)
+        same = F.when(F.col("stored").isNull(), F.raise_error(F.concat(F.lit("no text at the locator "), "rep"))).otherwise(F.col("text") == F.col("stored"))
+        self._write(checked.where(~same).select("locator", "digest", F.col("text").alias("variant")), "variants", batch_id)
 
     def result(self) -> DataFrame:
         """id, locator, digest, keep_id, group_size, kept of every row so far."""
@@ -109,7 +113,8 @@ class ExactDedupState:
 
 def stream_dedup(spark: SparkSession, source: str, schema: StructType, path: str | None = None, files_per_batch: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> ExactDedupState:
     """Run all files that are in `source` (a folder or a file) and not yet in the state through it, as a stream that ends when it has them all.
-    The state and the stream's offsets are in `path`; a later call with the same path goes on from there."""
+    The state and the stream's offsets are in `path`; a later call with the same path goes on from there. Without files_per_batch all files
+    that are there are one micro-batch; each further one reads the texts that its hits are compared with again."""
     path = path or work_path(spark, "exact-dedup")
     where = f"{source.rstrip('/')[:-1]}[{source.rstrip('/')[-1]}]"  # as a pattern, so that it may also be a single file
     content = with_locator(spark.read.schema(schema).parquet(source))
