@@ -8,12 +8,13 @@ versions are sketched again with four times the cells, up to what surely suffice
 
 The fingerprint is the sketch of CELLS cells, in base64, after the number of paragraphs: equal texts have equal fingerprints.
 
-The query also needs each document's successor by descending identifier. Rows go to ranges of the identifier, bounded by quantiles; the first
-row of a range is sent to the range before as well, so a range's task sees each of its rows' successors: one shuffle of the texts and no
-global window. The ranges' first identifiers go to the driver, one for each range (RANGE rows or so each).
+The query also needs each document's successor by descending identifier. Rows go to ranges of the identifier and, where many rows have one,
+of the hash of the text, bounded by quantiles; the first row of a range is sent to the range before as well, so a range's task sees each of its
+rows' successors: one shuffle of the texts and no global window. The bounds of the ranges and their first keys go to the driver: RANGES of them
+at most, however many rows there are (a range then has more than RANGE rows, which its task sorts with spilling and goes through in slices).
 
 Cases: a null text is empty, has no paragraphs and the likeness 1 to another empty one; rows of equal identifiers follow each other in the
-order of their texts; null identifiers come last; a single row is its own successor; extra columns aren't read.
+order of their texts' hashes; null identifiers come last; a single row is its own successor; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from ._common import ship
 
-#: Cells and hashes of a fingerprint, words of a paragraph, rows of a range, identifiers sampled for it, characters compared at once.
-CELLS, HASHES, UNIT, RANGE, SAMPLE, SLICE = 24, 3, 8, 1024, 20, 1 << 20
+#: Cells and hashes of a fingerprint, words of a paragraph, rows of a range, most ranges, keys sampled for each, characters compared at once.
+CELLS, HASHES, UNIT, RANGE, RANGES, SAMPLE, SLICE = 24, 3, 8, 1024, 1 << 14, 20, 1 << 20
 PARAGRAPHS = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -164,34 +165,50 @@ def _results(ids: list, texts: list[str], following: list[str], keys: list[np.nd
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+def below(cuts: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """How many of the sorted pairs `cuts` (two rows) are less than each pair of keys and marks."""
+    low, high = np.searchsorted(cuts[0], keys, "left"), np.searchsorted(cuts[0], keys, "right")
+    out = low.copy()
+    several = np.flatnonzero(high > low)
+    for start in np.unique(low[several]):  # a key that has bounds inside
+        at = several[low[several] == start]
+        out[at] += np.searchsorted(cuts[1, start : high[at[0]]], marks[at], "left")
+    return out
+
+
 def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = RANGE) -> DataFrame:
-    """part, extra, id, text, in order inside each part: the rows of a range by descending identifier (equal ones by text), then, with extra 1,
-    the rows of the largest identifier of the range after it. The last range is followed by the first."""
+    """part, extra, id, text, in order inside each part: the rows of a range by descending identifier (equal ones by the text's hash), then, with
+    extra 1, the rows of the first key of the range after it. The last range is followed by the first."""
     ship(docs.sparkSession)
     held = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    key = F.coalesce(F.col("id"), F.lit(-(1 << 63) + 1))
-    ids = held.select(key.alias("key"))
-    total = ids.count()
-    parts = max(1, -(-total // rows))
-    # SAMPLE identifiers for each range place the bounds; they decide how even the ranges are, and nothing else
-    drawn = np.sort([r[0] for r in ids.sample(min(1.0, SAMPLE * parts / max(total, 1)), seed=5).collect()]) if parts > 1 else np.empty(0, np.int64)
-    cuts = np.unique(drawn[SAMPLE - 1 :: SAMPLE]).astype(np.int64)
-    part_of = F.pandas_udf(lambda k: pd.Series(len(cuts) - np.searchsorted(cuts, k.to_numpy(), "left")), "long")
-    tops = {r[0]: r[1] for r in ids.groupBy(part_of("key").alias("part")).agg(F.max("key")).collect()}
-    there = sorted(tops)
-    heads = np.array([tops[p] for p in reversed(there)], np.int64)
-    before = np.array([there[there.index(p) - 1] for p in reversed(there)], np.int64)
-
-    def targets(k: pd.Series) -> pd.Series:
+    held = held.select("id", "text", F.coalesce(F.col("id"), F.lit(-(1 << 63) + 1)).alias("key"), F.xxhash64("text").alias("mark"))
+    ids = held.select("key", "mark")
+    total = docs.select(F.lit(1)).count()
+    parts = min(RANGES, max(1, -(-total // rows)))
+    # SAMPLE keys for each range place the bounds; they decide how even the ranges are, and nothing else
+    drawn = np.array([tuple(r) for r in ids.sample(min(1.0, SAMPLE * parts / max(total, 1)), seed=5).collect()] if parts > 1 else [], np.int64).reshape(-1, 2)
+    drawn = drawn[np.lexsort((drawn[:, 1], drawn[:, 0]))][SAMPLE - 1 :: SAMPLE]
+    cuts = np.unique(drawn, axis=0).T.copy().reshape(2, -1)
+
+    def parts_of(keys: pd.Series, marks: pd.Series) -> np.ndarray:
+        return cuts.shape[1] - below(cuts, keys.to_numpy(), marks.to_numpy())
+
+    part_of = F.pandas_udf(lambda k, m: pd.Series(parts_of(k, m)), "long")
+    tops = ids.groupBy(part_of("key", "mark").alias("part")).agg(F.max(F.struct("key", "mark")).alias("top")).orderBy("part").collect()
+    there = [r.part for r in tops]
+    heads, before = np.zeros((2, cuts.shape[1] + 1), np.int64), np.zeros(cuts.shape[1] + 1, np.int64)
+    for r, previous in zip(tops, there[-1:] + there[:-1]):
+        heads[:, r.part], before[r.part] = tuple(r.top), previous
+
+    def targets(keys: pd.Series, marks: pd.Series) -> pd.Series:
         """The part of a row and, for the first of a range, the part before, as -1 less it."""
-        keys = k.to_numpy()
-        own = len(cuts) - np.searchsorted(cuts, keys, "left")
-        at = np.minimum(np.searchsorted(heads, keys), len(heads) - 1)
-        return pd.Series([[p, -1 - before[i]] if h else [p] for p, i, h in zip(own.tolist(), at.tolist(), (heads[at] == keys).tolist())])
-
-    sent = held.select(F.explode(F.pandas_udf(targets, "array<long>")(key)).alias("to"), "id", "text")
-    sent = sent.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"), (F.col("to") < 0).cast("int").alias("extra"), "id", "text")
-    return sent.repartition("part").sortWithinPartitions("part", "extra", F.desc_nulls_last("id"), "text")
+        own = parts_of(keys, marks)
+        first = (heads[0, own] == keys.to_numpy()) & (heads[1, own] == marks.to_numpy())
+        return pd.Series([[p, -1 - i] if h else [p] for p, i, h in zip(own.tolist(), before[own].tolist(), first.tolist())])
+
+    sent = held.select(F.explode(F.pandas_udf(targets, "array<long>")("key", "mark")).alias("to"), "id", "mark", "text")
+    sent = sent.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"), (F.col("to") < 0).cast("int").alias("extra"), "id", "mark", "text")
+    return sent.repartition("part").sortWithinPartitions("part", "extra", F.desc_nulls_last("id"), F.desc("mark"), "text").select("part", "extra", "id", "text")
 
 
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
