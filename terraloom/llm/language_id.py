@@ -5,19 +5,23 @@ that the automaton has from where the last phrase ended (a character that the sa
 times the bits that a pointer into the sample takes, by character, estimates the cross entropy; the language with the least wins.
 
 Automata become dense tables (state x symbol -> next state, and whether a phrase ends), so all texts of a slice take a step at once in
-numpy. Letters are lower-cased and mapped to an alphabet of the sample's most frequent ones; a run of anything else is one symbol. Texts of over PIECE symbols are parsed in pieces of that length, whole.
+numpy. Letters are lower-cased and mapped to the alphabet of the language's own sample, its LETTERS most frequent; what the sample lacks is a
+symbol that no phrase goes on with; a run of anything but letters is one symbol. A text of over PIECE symbols is parsed in pieces at the same
+time, each as if a phrase began there; then each piece is parsed again from the state in which the one before it truly ended, until the two
+parses are in one state, so the number of phrases is that of the whole text parsed from its start.
 
-Training reads labelled rows outside the held-out fold only: ROWS rows of each language, those with the least hashes of their identifiers,
-and of these CHARS characters. That bound, and LANGUAGES (the most frequent ones), make the model small at any size of the table; it goes to the workers with the task.
+Training reads labelled rows outside the held-out fold only, and every label that occurs: of each language ROWS rows, those with the least
+hashes of their identifiers, and of these CHARS characters, or an equal share of TOTAL where there are more than TOTAL / CHARS languages. That
+bound makes the model small at any size of the table; it goes to the workers with the task. A worker holds tables of TABLES bytes and makes
+those of further languages anew for each slice.
 
 Cases: a null text, or one without a letter, is `und` with score 0; no labelled rows at all: `und` everywhere; ties of two languages go to the
-alphabetically first; identifiers may be null or repeated (a null one is not held out).
+alphabetically first; identifiers may be null or repeated (a null one is not held out); over LABELS different labels are an error.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,10 +32,11 @@ from pyspark.sql import functions as F
 
 from ._common import col, ship, slices
 
-#: Bounds of the sample: rows and characters of a language, languages; letters of the alphabet; symbols of a piece.
-ROWS, CHARS, LANGUAGES, LETTERS, PIECE = 200, 20_000, 64, 60, 2048
+#: Bounds of the sample: rows and characters of a language, characters of all; letters of a language's alphabet; symbols of a piece; bytes of
+#: the tables that a worker keeps; the most labels (more can't be languages, and are refused).
+ROWS, CHARS, TOTAL, LETTERS, PIECE, TABLES, LABELS = 200, 20_000, 8_000_000, 250, 2048, 512 << 20, 10_000
 FOLDS, HELD_OUT = 4, 2
-SPACE, LETTER, FIRST = range(3)  # not a letter, a letter outside the alphabet, the alphabet
+SPACE, LETTER, FIRST = range(3)  # not a letter, a letter that the sample lacks or its alphabet leaves out, the alphabet
 
 
 def held_out(id_col: str) -> Column:
@@ -39,20 +44,23 @@ def held_out(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[tuple[str, str], ...]:
-    """(language, text) of the bounded sample. Identifiers are chosen first, from narrow columns; then a scan takes their texts."""
-    narrow = docs.select(F.col(label_col).cast("string").alias("lang"), F.col(id_col).alias("id")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    languages = [r[0] for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = narrow.where(F.col("lang").isin(languages)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS)
-    rows = docs.select(F.col(label_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.substring(F.col(text_col).cast("string"), 1, CHARS).alias("text")).where(F.col("text").isNotNull())
-    texts = rows.join(F.broadcast(chosen.select("lang", "id")), ["lang", "id"]).select("lang", F.xxhash64("id"), "id", "text").collect()
+    """(language, text) of the bounded sample. Identifiers are chosen first, from narrow columns; then a scan takes their texts. Rows are ranked
+    and their characters added up in Spark, by partial ranks, so an identifier that many rows have brings no more than the bound here."""
+    labels = docs.select(F.col(label_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
+    narrow = labels.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
+    if narrow.select("lang").distinct().limit(LABELS + 1).count() > LABELS:
+        raise ValueError(f"over {LABELS} different labels in {label_col}")
+    chosen = narrow.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= ROWS)
+    ids = chosen.select("lang", "id").distinct()
+    rows = docs.select(F.col(label_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.substring(F.col(text_col).cast("string"), 1, CHARS).alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    ranked = rows.where(F.length("text") > 0).join(F.broadcast(ids), ["lang", "id"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS)
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held: dict[str, list[str]] = {}
-    size: Counter = Counter()
-    for lang, _, _, text in sorted(texts):
-        if size[lang] < CHARS:
-            held.setdefault(lang, []).append(text[: CHARS - size[lang]])
-            size[lang] += len(held[lang][-1])
-    return tuple((lang, "\n".join(held[lang])) for lang in sorted(held))
+    for r in ranked.withColumn("before", before).where(F.col("before") < CHARS).select("lang", "n", F.substr("text", F.lit(1), (CHARS - F.col("before")).cast("int")).alias("text")).orderBy("lang", "n").toLocalIterator():
+        held.setdefault(r.lang, []).append(r.text)
+    share = min(CHARS, max(1, TOTAL // max(len(held), 1)))
+    return tuple((lang, "\n".join(held[lang])[: share + len(held[lang]) - 1]) for lang in sorted(held))
 
 
 def _automaton(symbols: list[int], width: int) -> np.ndarray:
@@ -90,65 +98,116 @@ def _automaton(symbols: list[int], width: int) -> np.ndarray:
     return table
 
 
+def _letter_table() -> np.ndarray:
+    """Each code point's lower-cased first letter, 0 for all that are no letters."""
+    out = np.zeros(0x110000, np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalpha():
+            out[i] = ord(c.lower()[0])
+    return out
+
+
 class LanguageModel:
     def __init__(self, texts: tuple[tuple[str, str], ...]):
-        letters = Counter(c for _, t in texts for c in t.lower() if c.isalpha())
-        alphabet = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.symbol = np.full(0x110000, SPACE, np.uint8)
-        place = {c: FIRST + i for i, c in enumerate(alphabet)}
-        for i in range(0x110000):
-            c = chr(i)
-            if c.isalpha():
-                low = c.lower()
-                self.symbol[i] = place.get(low if len(low) == 1 else low[0], LETTER)
+        self.lower = _letter_table()
         self.languages = [lang for lang, _ in texts]
-        self.width = FIRST + len(alphabet)
-        coded = [self._symbols([t])[0] for _, t in texts]
-        self.tables = [_automaton(c.tolist(), self.width).ravel() for c in coded]
-        self.bits = [math.log2(max(len(c), 2)) for c in coded]
-
-    def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of the texts, one after the other, and how many each has."""
-        symbols = np.append(self.symbol[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)], np.uint8(SPACE))
+        self.symbol: list[np.ndarray] = []
+        self.coded: list[np.ndarray] = []
+        self.width: list[int] = []
+        for _, text in texts:
+            flat = self._letters([text])[0]
+            letters, counts = np.unique(flat[flat > 0], return_counts=True)
+            alphabet = letters[np.lexsort((letters, -counts))][:LETTERS]
+            symbol = np.full(0x110000, LETTER, np.uint8)
+            symbol[0] = SPACE
+            symbol[alphabet] = FIRST + np.arange(len(alphabet))
+            self.symbol.append(symbol)
+            self.coded.append(symbol[flat])
+            self.width.append(FIRST + len(alphabet))
+        self.bits = [math.log2(max(len(c), 2)) for c in self.coded]
+        self.kept: dict[int, np.ndarray] = {}
+
+    def table(self, k: int) -> np.ndarray:
+        """The automaton of a language; as many as TABLES bytes hold are kept."""
+        found = self.kept.get(k)
+        if found is None:
+            found = _automaton(self.coded[k].tolist(), self.width[k]).ravel()
+            if sum(t.nbytes for t in self.kept.values()) + found.nbytes <= TABLES:
+                self.kept[k] = found
+        return found
+
+    def _letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of the texts, one text after the other, with 0 for a run of anything else, and how many of these each text has."""
+        flat = np.append(self.lower[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)], np.uint32(0))
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         starts = np.cumsum(lengths) - lengths
-        keep = symbols != SPACE
+        keep = flat != 0
         keep[1:] |= keep[:-1]
         keep[starts] = True
         keep[-1] = False
-        return symbols[keep], np.add.reduceat(keep, starts, dtype=np.int64) * (lengths > 0)
+        return flat[keep], np.add.reduceat(keep, starts, dtype=np.int64) * (lengths > 0)
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        flat, lengths = self._symbols(texts)
-        starts = np.cumsum(lengths) - lengths
-        letters = np.add.reduceat(np.append(flat >= LETTER, False), starts, dtype=np.int64) * (lengths > 0)
-        if not self.languages:
-            return [("und", 0.0)] * len(texts)
+    def phrases(self, k: int, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Phrases of each text by the automaton of language k."""
+        table, width = self.table(k), self.width[k]
+        wide = self.symbol[k][flat].astype(np.int64)
         pieces = -(-lengths // PIECE)
-        owner = np.repeat(np.arange(len(texts)), pieces)
+        owner = np.repeat(np.arange(len(lengths)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        at = starts[owner] + nth * PIECE
+        at = (np.cumsum(lengths) - lengths)[owner] + nth * PIECE
         size = np.minimum(lengths[owner] - nth * PIECE, PIECE)
         order = np.argsort(-size, kind="stable")
-        owner, at, size = owner[order], at[order], size[order]
-        active = np.searchsorted(-size, -np.arange(PIECE), "left")  # how many pieces are longer than each step
-        wide = flat.astype(np.int64)
-        phrases = np.zeros((len(self.tables), len(owner)), np.int64)
-        for k, table in enumerate(self.tables):
-            state = np.zeros(len(owner), np.int64)
-            count = phrases[k]
-            for step in range(int(size[0]) if len(size) else 0):
-                n = active[step]
-                move = table.take(state[:n] * self.width + wide.take(at[:n] + step))
-                count[:n] += move & 3
-                state[:n] = move >> 2
-            count += state > 0
-        total = np.stack([np.bincount(owner, count, len(texts)) for count in phrases])
-        rate = total * np.array(self.bits)[:, None] / np.maximum(lengths, 1)
-        best = rate.argmin(axis=0)
-        least = rate.min(axis=0)
-        others = np.where(np.arange(len(rate))[:, None] == best, np.inf, rate).min(axis=0)
-        score = np.where(np.isfinite(others), 1 - least / np.maximum(others, 1e-12), 1.0)
+        count, end = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        state, found, place = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64), at[order]
+        active = np.searchsorted(-size[order], -np.arange(PIECE), "left")  # how many pieces are longer than each step
+        for step in range(int(size.max()) if len(size) else 0):
+            n = active[step]
+            move = table.take(state[:n] * width + wide.take(place[:n] + step))
+            found[:n] += move & 3
+            state[:n] = move >> 2
+        count[order], end[order] = found, state
+        # each piece but the first begins in the state in which the one before it ended
+        more, ends = np.zeros(len(owner), np.int64), end.copy()
+        todo = np.flatnonzero(nth > 0)
+        todo = todo[end[todo - 1] != 0]
+        while len(todo):
+            true, guess, extra, step = ends[todo - 1], np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64), 0
+            new_end = end[todo].copy()
+            live = np.arange(len(todo))
+            while len(live):
+                over = size[todo[live]] <= step
+                if over.any():
+                    new_end[live[over]] = true[live[over]]
+                    live = live[~over]
+                c = wide.take(at[todo[live]] + step)
+                a, b = table.take(true[live] * width + c), table.take(guess[live] * width + c)
+                extra[live] += (a & 3) - (b & 3)
+                true[live], guess[live] = a >> 2, b >> 2
+                live = live[true[live] != guess[live]]
+                step += 1
+            more[todo] = extra
+            changed = todo[new_end != ends[todo]]
+            ends[todo] = new_end
+            todo = changed + 1
+            todo = todo[todo < len(owner)]
+            todo = todo[nth[todo] > 0]
+        last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.empty(0, bool)
+        return np.bincount(owner, count + more + (last & (ends > 0)), len(lengths))
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
+        flat, lengths = self._letters(texts)
+        starts = np.cumsum(lengths) - lengths
+        letters = np.add.reduceat(np.append(flat > 0, False), starts, dtype=np.int64) * (lengths > 0)
+        best, least, second = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf), np.full(len(texts), np.inf)
+        for k, bits in enumerate(self.bits):
+            rate = self.phrases(k, flat, lengths) * bits / np.maximum(lengths, 1)
+            less = rate < least
+            second = np.where(less, least, np.minimum(second, rate))
+            best, least = np.where(less, k, best), np.where(less, rate, least)
+        score = np.where(np.isfinite(second), 1 - least / np.maximum(second, 1e-12), 1.0)
         return [(self.languages[b], float(min(1.0, max(0.0, s)))) if n else ("und", 0.0) for b, s, n in zip(best.tolist(), score.tolist(), letters.tolist())]
 
 
