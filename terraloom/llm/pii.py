@@ -2,8 +2,9 @@
 
 DataFrame functions only. Places come from splitting a text at the matches: the lengths of the pieces and of the matches, added up, give each
 start and end in code points. Patterns begin where the last match ended or after a character that couldn't belong to the match (the same
-leftmost matches, without a new attempt at each place of a long run) and are possessive where that changes nothing, so no text takes more than
-linear time. A kind whose sign (`@`, `+`, a digit) a text lacks is skipped.
+leftmost matches, without a new attempt at each place of a long run) and are possessive where that changes nothing. Places are added up in
+chunks of CHUNK matches and then over the chunks, and the characters before a match are put together from the ends of the pieces and matches
+just before it, so the text itself isn't gone through again for each match. A kind whose sign (`@`, `+`, a digit) a text lacks is skipped.
 
 Base kinds: email, ip (parts at most 255), card (16 to 19 digits that pass Luhn), phone (8 to 15 digits); matches that fail are dropped. The
 method adds iban (mod-97) and ssn (three, two and four digits, only with a word for it nearby). Each span has a score: 0.5 for a form
@@ -19,8 +20,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters before a span in which its words count.
-WINDOW = 48
+#: Characters before a span in which its words count; the most matches that these can touch (a match has two characters at least); matches of a chunk.
+WINDOW, CHUNK = 48, 256
+TOUCH = WINDOW // 2
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 BASE = ("email", "ip", "card", "phone")
 #: kind: (pattern, what a text must hold, words nearby)
@@ -70,30 +72,64 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _ends(c: Column) -> Column:
+    return F.when(F.length(c) > WINDOW, F.substring(c, -WINDOW, WINDOW)).otherwise(c)
+
+
+def _places(turns: Column) -> Column:
+    """Starts of the matches: pieces and matches take turns, each moves the place on."""
+    none, nones = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(turns) - 1) / CHUNK).cast("int")), lambda k: F.slice(turns, k * CHUNK + 1, CHUNK))
+    step = lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts"))
+    inside = F.transform(chunks, lambda c: F.aggregate(c, F.struct(F.lit(0).alias("at"), none.alias("starts")), step))
+    move = lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["starts"], F.array(F.transform(x["starts"], lambda s: s + a["at"]))).alias("starts"))
+    return F.flatten(F.aggregate(inside, F.struct(F.lit(0).alias("at"), nones.alias("starts")), move)["starts"])
+
+
+def _nearby(tails: Column, i: Column) -> Column:
+    """The last WINDOW characters before match i, lower-cased."""
+    since = F.greatest(i - TOUCH, F.lit(0))
+    earlier = F.transform(F.slice(tails, since + 1, i - since), lambda x: F.concat(x["p"], x["m"]))
+    return F.lower(_ends(F.concat(F.array_join(earlier, ""), F.get(tails, i)["p"])))
+
+
+def _each(text: Column, kind: str, body: Callable[[Column, Column], Column]) -> Column:
+    """body of the pieces (the part after the last match too) and of an array with, for each match, its text, start, and score (null where it is
+    dropped); null where the text has no match."""
+    pattern, sign, words = KINDS[kind]
+    base = {"card": 0.9, "iban": 0.9}.get(kind, 0.5)
+
+    def judged(found: Column, pieces: Column, starts: Column, tails: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            near = _nearby(tails, i).rlike(rf"\b(?:{words})\b")
+            score = F.when(near, F.lit(base + 0.1)) if kind == "ssn" else F.when(near, F.lit(base + 0.1)).otherwise(F.lit(base))
+            return F.struct(m.alias("match"), F.get(starts, i).alias("start"), F.when(confirmed(kind, m), score).alias("score"))
+
+        return let(F.transform(found, one), lambda marks: body(pieces, marks))
+
+    def placed(found: Column, pieces: Column) -> Column:
+        turns = F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("size"))
+        tails = F.transform(F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m")), lambda x: F.struct(_ends(x["p"]).alias("p"), _ends(x["m"]).alias("m")))
+        return let(turns, lambda t: let(_places(t), lambda starts: let(tails, lambda ends: judged(found, pieces, starts, ends))))
+
+    some = lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda pieces: placed(found, pieces)))
+    return F.when(text.rlike(sign), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some))
+
+
 def spans(text: Column, kind: str) -> Column:
     """Array of (start, end, score) of a kind, in order; end is exclusive."""
-    pattern, sign, words = KINDS[kind]
-    none = F.array().cast("array<struct<start:int,end:int,score:double>>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    kept = lambda _, marks: F.transform(F.filter(marks, lambda m: m["score"].isNotNull()), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("end"), m["score"].alias("score")))
+    return F.coalesce(_each(text, kind, kept), F.array().cast("array<struct<start:int,end:int,score:double>>"))
 
-    def places(found: Column) -> Column:
-        """The matches with their starts: pieces and matches take turns, each moves the place on."""
-        turns = F.arrays_zip(F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(found)).alias("gap"), F.transform(found, F.length).alias("size"))
-        starts = F.aggregate(turns, start, lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")), lambda a: a["starts"])
-        return F.when(F.size(found) > 0, F.filter(F.arrays_zip(found.alias("match"), starts.alias("start")), lambda m: confirmed(kind, m["match"])))
 
-    both = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
-    base = {"card": 0.9, "iban": 0.9}.get(kind, 0.5)
+def _cut(text: Column, kind: str) -> Column:
+    """The text with each span of a kind replaced."""
 
-    def scored(m: Column) -> Column:
-        before = F.lower(F.substr(text, F.greatest(m["start"] - WINDOW, F.lit(0)) + 1, F.least(m["start"], F.lit(WINDOW))))
-        score = F.when(before.rlike(rf"\b(?:{words})\b"), F.lit(base + 0.1)).otherwise(F.lit(base))
-        return F.struct(m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("end"), score.alias("score"))
+    def joined(pieces: Column, marks: Column) -> Column:
+        parts = F.transform(marks, lambda m, i: F.concat(F.get(pieces, i), F.when(m["score"].isNotNull(), F.lit(f"[{kind}]")).otherwise(m["match"])))
+        return F.concat(F.array_join(parts, ""), F.get(pieces, F.size(marks)))
 
-    out = F.coalesce(F.transform(both, scored), none)
-    if kind == "ssn":
-        out = F.filter(out, lambda s: s["score"] > base)
-    return F.when(text.rlike(sign), out).otherwise(none)
+    return F.coalesce(_each(text, kind, joined), text)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,16 +142,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind
     """id and the text with each span of the kinds replaced by its kind in brackets, later kinds after earlier ones."""
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for k in kinds:
-        out = out.withColumn("s", spans(F.col("text"), k)).select("id", F.when(F.size("s") > 0, _cut(k)).otherwise(F.col("text")).alias("text"))
+        out = out.withColumn("text", _cut(F.col("text"), k))
     return out
 
 
-def _cut(kind: str) -> Column:
-    text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, x["start"] - a["at"]), F.lit(f"[{kind}]")).alias("out"))
-    return F.aggregate(F.col("s"), start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-
-
 def _joined(kinds: tuple[str, ...]) -> Column:
     def one(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
