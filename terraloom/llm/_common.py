@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,13 +21,15 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one that is then set."""
+    """The folder of spark.checkpoint.dir; where that is unset on one machine (tests), a temporary one that is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     there = spark.sparkContext._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terraloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -93,6 +96,13 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def salt(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 

@@ -21,11 +21,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import col
+from ._common import col, free_name
 
-#: Target shares of the tokens; `*` is everything not named.
+#: Target shares of the tokens; `*` is everything not named. Sources are balanced among each other only where they are named.
 TARGETS = {
-    "source": {"src0": 0.2, "*": 0.8},
+    "source": {"src0": 0.2} | {f"src{i}": 0.04 for i in range(1, 20)} | {"*": 0.04},
     "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1, "*": 0.05},
     "topic": {"prose": 0.85, "lists": 0.05, "table": 0.05, "symbols": 0.05},
 }
@@ -124,8 +124,10 @@ def capped(n: np.ndarray, chance: np.ndarray, wanted: float) -> np.ndarray:
     return np.minimum(1.0, high * chance)
 
 
-def weighted(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """docs with the column `__mix`: a struct of source, lang, topic, tokens, weight, probability, sampled."""
+def weighted(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, name: str = "__mix") -> DataFrame:
+    """docs with the further column `name`, which they mustn't have: a struct of source, lang, topic, tokens, weight, probability, sampled."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name}")
     if np.prod([len(v) for v in targets.values()]) > CELLS:
         raise ValueError(f"the targets have over {CELLS} cells")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -133,15 +135,15 @@ def weighted(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, bu
     cell = {n: F.when(v.isin([x for x in targets[n] if x != "*"]), v).otherwise(F.lit("*")) for n, v in level.items()}
     missing = [n for n in targets if "*" not in targets[n]]
     full = {n: t if n not in missing else t | {"*": 0.0} for n, t in targets.items()}
-    coded = docs.withColumn("__mix", F.struct(*(cell[n].alias(n) for n in targets), tokens(text).alias("tokens")))
-    sums = {tuple(r[:-1]): float(r[-1]) for r in coded.groupBy(*(F.col(f"__mix.{n}").alias(n) for n in targets)).agg(F.sum("__mix.tokens")).collect()}
+    coded = docs.withColumn(name, F.struct(*(cell[n].alias(n) for n in targets), tokens(text).alias("tokens")))
+    sums = {tuple(r[:-1]): float(r[-1]) for r in coded.groupBy(*(F.col(f"{name}.{n}").alias(n) for n in targets)).agg(F.sum(f"{name}.tokens")).collect()}
     factors = rake(sums, full)
     chances = calibrate(sums, factors, budget)
     keys = list(sums) or list(product(*([v] for v in ["*"] * len(targets))))
     pairs = [x for k in keys for x in (F.lit("\0".join(k)), F.struct(F.lit(factors.get(k, 1.0)).alias("weight"), F.lit(chances.get(k, budget)).alias("probability")))]
-    found = F.element_at(F.create_map(*pairs), F.concat_ws("\0", *(F.col(f"__mix.{n}") for n in targets)))
+    found = F.element_at(F.create_map(*pairs), F.concat_ws("\0", *(F.col(f"{name}.{n}") for n in targets)))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11) / F.lit(float(1 << 53))
-    return coded.withColumn("__mix", F.struct("__mix.*", found["weight"].alias("weight"), found["probability"].alias("probability"), (draw < found["probability"]).alias("sampled")))
+    return coded.withColumn(name, F.struct(f"{name}.*", found["weight"].alias("weight"), found["probability"].alias("probability"), (draw < found["probability"]).alias("sampled")))
 
 
 def shares(mixed: DataFrame, targets: dict[str, dict[str, float]] = TARGETS) -> DataFrame:
@@ -157,9 +159,10 @@ def shares(mixed: DataFrame, targets: dict[str, dict[str, float]] = TARGETS) ->
 
 def draw(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """docs, all columns, of the sampled rows."""
-    return weighted(docs, targets, budget).where("__mix.sampled").select(*map(col, docs.columns))
+    name = free_name(docs, "__mix")
+    return weighted(docs, targets, budget, name=name).where(F.col(f"{name}.sampled")).select(*map(col, docs.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = weighted(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    mixed = weighted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     return mixed.select("doc_id", F.col("__mix.source").alias("source"), F.col("__mix.lang").alias("lang"), F.col("__mix.topic").alias("topic"), F.col("__mix.tokens").alias("n_tokens"), F.col("__mix.weight").alias("weight"), F.col("__mix.probability").alias("probability"), F.col("__mix.sampled").alias("sampled"))

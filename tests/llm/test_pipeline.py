@@ -75,7 +75,7 @@ def test_stages(spark, tables, tmp_path):
     assert sorted(r.doc_id for r in docs.collect()) == [r[0] for r in want]
     # the fourth: shares of tokens among cells, and the hash of each row
     cells = defaultdict(float)
-    cell = lambda r: (r[3] if r[3] == "src0" else "*", r[2] or "*", "prose")
+    cell = lambda r: (r[3] if r[3] in mixing.TARGETS["source"] else "*", r[2] or "*", "prose")
     for r in want:
         cells[cell(r)] += len(r[1].split(" "))
     full = {n: t if "*" in t else t | {"*": 0.0} for n, t in mixing.TARGETS.items()}
