@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ship, slices
+from ._common import col, ship, slices
 
 MARK = "▁"
 WORDS = re.compile(rf"{MARK}*(?:[^\W\d_²]+|(?:(?![^\W\d_²])[^{MARK}])+)|{MARK}+")
@@ -236,7 +236,7 @@ def model(path: str) -> PieceModel:
 def encode_texts(df: DataFrame, text_col: str, path: str, keep: list[str], ids: bool = False) -> DataFrame:
     """The columns `keep`, then n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) and decoded text. One narrow pass."""
     ship(df.sparkSession)
-    columns = [F.col(text_col).cast("string").alias("__text"), *(F.col(k).alias(f"__{i}") for i, k in enumerate(keep))]
+    columns = [F.col(text_col).cast("string").alias("__text"), *(col(k).alias(f"__{i}") for i, k in enumerate(keep))]
     chosen = df.select(*columns)
     more = ", __ids binary, __decoded string" if ids else ""
 

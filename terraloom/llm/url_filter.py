@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ship, slices
+from ._common import col, ship, slices
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -128,7 +128,7 @@ def judge(df: DataFrame, url_col: str, rules: tuple[Rule, ...], keep: list[str],
     """The columns `keep`, host, path, rule and verdict of each row."""
     ship(df.sparkSession)
     url = F.col(url_col).cast("string")
-    chosen = df.select(host_of(url).alias("__host"), path_of(url).alias("__path"), *(F.col(k).alias(f"__{i}") for i, k in enumerate(keep)))
+    chosen = df.select(host_of(url).alias("__host"), path_of(url).alias("__path"), *(col(k).alias(f"__{i}") for i, k in enumerate(keep)))
     chosen = chosen.select(F.concat(F.lit("."), "__host", "__path").alias("__url"), *chosen.columns)
     names = [*chosen.columns[1:], "__rule", "__verdict"]
 
