@@ -13,6 +13,9 @@ groups hold (position, name) pairs at growing lengths, and positions whose name
 Windows without an anchor (periodic text, mostly) are named one by one from the start, but of equal ones in a piece only two are sent. A
 suffix array of all positions would sort some 24 bytes for each byte of text in each round; the anchors are about one position in 75.
 
+A further column, n_shared_words, counts the words in passages of 50 words or more that another document has too (`passages`): such passages
+are mostly under LENGTH bytes.
+
 Equal fingerprints are taken as equal strings: within one core (or pair of names) the chance of a false pair is 2**-64 each.
 
 Cases: a null text is empty; texts shorter than LENGTH lose nothing; repeated rows remove each other; texts of any length are worked on in
@@ -271,22 +274,27 @@ def repeated_items(held: DataFrame) -> DataFrame:
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 of each row and, if asked for, the bytes that are left (`kept`, binary)."""
+    """id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words of each row and, if asked for, the bytes that are left (`kept`, binary)."""
+    from .passages import Passages, shared_items
+
     key: Column = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63) + 1))
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     held = docs.select(key.alias("doc"), F.xxhash64(raw).alias("rk"), raw.alias("raw"), F.col(id_col).cast("long").alias("id"))
-    found = repeated_items(held.select("doc", "rk", "raw"))
-    joined = held.join(found.hint("shuffle_hash"), ["doc", "rk"], "left").select("id", "raw", "items")
+    found = repeated_items(held.select("doc", "rk", "raw")).join(shared_items(held.select("doc", "rk", "raw")), ["doc", "rk"], "full")
+    joined = held.join(found.hint("shuffle_hash"), ["doc", "rk"], "left").select("id", "raw", "items", "shared")
 
     def third(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, raws in _slices(batch, 1, PIECE):
-                items = [np.array(x.as_py() or [], np.int64) for x in batch.column(2).slice(start, len(raws))]
+                items, shared = ([np.array(x.as_py() or [], np.int64) for x in batch.column(k).slice(start, len(raws))] for k in (2, 3))
                 some = [i for i, x in enumerate(items) if len(x)]
                 masks = [np.zeros(len(t), bool) for t in raws]
                 if some:
                     for i, m in zip(some, remove([raws[i] for i in some], [items[i] for i in some])):
                         masks[i] = m
+                words = np.zeros(len(raws), np.int64)
+                if some := [i for i, x in enumerate(shared) if len(x)]:
+                    words[some] = Passages([raws[i] for i in some]).covered([shared[i] for i in some])
                 kept = [np.frombuffer(t, np.uint8)[~m].tobytes() if m.any() else t for t, m in zip(raws, masks)]
                 columns = [
                     batch.column(0).slice(start, len(raws)),
@@ -294,11 +302,12 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     pa.array([int(m.sum()) for m in masks], pa.int64()),
                     pa.array([int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()) for m in masks], pa.int64()),
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
+                    pa.array(words),
                 ]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if texts else columns, out)
 
-    out = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
-    return joined.mapInArrow(third, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
+    out = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", *(["kept"] if texts else [])]
+    return joined.mapInArrow(third, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long" + (", kept binary" if texts else ""))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

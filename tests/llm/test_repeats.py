@@ -2,7 +2,8 @@
 
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,39 @@ def test_repeats_in_spark(spark, docs):
     assert [out[i] for i in range(len(texts))] == brute([(t or "").encode() for t in texts], repeats.LENGTH)
     got = Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.dedup_bytes(docs, texts=True).collect())
     assert got == Counter((i, *b) for (i, *_), b in zip(ROWS, brute([(t or "").encode() for _, t, *_ in ROWS], repeats.LENGTH)))
+
+
+def brute_shared(rows, words=50):
+    """Words in windows of `words` words that a row of another (id, text) has too."""
+    split = [(k, re.findall(rb"[^ \t-\r]+", k[1])) for k in rows]
+    where = defaultdict(set)
+    for k, w in split:
+        for i in range(len(w) - words + 1):
+            where[tuple(w[i : i + words])].add(k)
+    out = []
+    for k, w in split:
+        hit = [False] * len(w)
+        for i in range(len(w) - words + 1):
+            if len(where[tuple(w[i : i + words])]) > 1:
+                hit[i : i + words] = [True] * words
+        out.append(sum(hit))
+    return out
+
+
+def test_shared_passages(spark):
+    rng = random.Random(41)
+    prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts = [" ".join(prose(rng.randrange(200))) for _ in range(30)]
+    for n in (48, 49, 50, 51, 52, 97, 160):  # passages about the length, with other white space and other neighbours
+        common = prose(n)
+        texts += [" ".join(prose(70) + common + prose(60)), "  ".join(prose(5) + common) + "\n" + "\t".join(prose(80))]
+        if n > 50:
+            texts += [" ".join(common[: n // 2] + ["other"] + common[n // 2 :]), " ".join(common[1:])]
+    line = prose(30)
+    own = " ".join(line * 8)  # repeated inside one document alone
+    texts += [own, texts[0], texts[1] + " end", " ".join(["same"] * 400), " ".join(["same"] * 60 + prose(10)), " ".join(line * 2 + prose(90)), "x " * 49, "x " * 50, "", None]
+    rows = [*enumerate(texts), (5, texts[5]), (None, texts[3]), (None, texts[4] + " more")]
+    want = Counter(zip((i for i, _ in rows), brute_shared([(i, (t or "").encode()) for i, t in rows])))
+    assert sum(n > 0 for _, n in want) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shared", F.lit(1)).repartition(3)
+    assert Counter((r.id, r.n_shared_words) for r in repeats.dedup_bytes(df).collect()) == want
