@@ -1,6 +1,8 @@
 """The corpus operators against brute force, the tokenizers' own libraries, exact round trips and held-out accuracy."""
 
+import bisect
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -107,6 +109,26 @@ def test_exact_dedup_streams(spark, tmp_path):
     assert batch.count() > 0
 
 
+def test_exact_dedup_needs_earlier_texts(spark, tmp_path):
+    """A second batch without the texts of the first, or with a locator that can't be found, is an error, not a wrong class."""
+    frames = []
+    for k in (1, 3):
+        spark.createDataFrame([(k, "a"), (k + 1, f"b{k}")], "doc_id long, text string").write.parquet(f"{tmp_path}/{k}")
+        frames.append(exact_dedup.with_locator(spark.read.parquet(f"{tmp_path}/{k}")))
+    state = exact_dedup.ExactDedupState(spark, f"{tmp_path}/none")
+    state.process_batch(frames[0], 0)
+    with pytest.raises(ValueError):
+        state.process_batch(frames[1], 1)
+    state = exact_dedup.ExactDedupState(spark, f"{tmp_path}/some", content=frames[0].unionByName(frames[1]))
+    for k, frame in enumerate(frames):
+        state.process_batch(frame, k)
+    assert sorted((r.id, r.keep_id, r.group_size) for r in state.result().collect()) == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1)]
+    state = exact_dedup.ExactDedupState(spark, f"{tmp_path}/lost", content=frames[1])
+    state.process_batch(frames[0], 0)
+    with pytest.raises(Exception, match="no text at the locator"):
+        state.process_batch(frames[1], 1)
+
+
 # 3 and 9
 
 
@@ -212,6 +234,20 @@ def test_fingerprints_in_ranges(spark, monkeypatch):
     assert Counter((r.doc_id, r.edited_sha256) for r in out) == want
 
 
+def test_fingerprints_of_one_hot_identifier(spark, monkeypatch):
+    """Rows of one identifier, and of none, are divided among ranges too."""
+    rows = [(7 if i % 3 else None, f"text {i}") for i in range(400)] + [(9, "last"), (1, "first")]
+    monkeypatch.setattr(fingerprints.successors, "__defaults__", ("doc_id", "text", 16))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = fingerprints.successors(df).where("extra = 0").groupBy("part").count().collect()
+    assert len(ranges) > 8 and max(r["count"] for r in ranges) < 100
+    out = fingerprints.compare_versions(df).collect()
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -signed(r[1])))
+    want = Counter((i, sha(t[: len(t) - len(t) // 2] + n[: len(t) // 2])) for (i, t), (_, n) in zip(order, order[1:] + order[:1]))
+    assert Counter((r.doc_id, r.edited_sha256) for r in out) == want
+
+
 def test_peeling_retries():
     rng = np.random.default_rng(5)
     left = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 3, 40, 2000)]
@@ -232,6 +268,52 @@ def test_mixing(spark, docs):
     assert drawn.columns == docs.columns and drawn.count() == sum(r.sampled for r in out)
 
 
+def test_mixing_query_on_documents(spark):
+    """The registered query on the smallest given table, all columns by brute force: topics, tokens, marginals, probabilities and draws."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    targets = mixing.TARGETS
+
+    def topic(t):
+        n = max(len(t.encode()), 1)
+        return next((k for k, chars, most in (("table", "|", 0.05), ("symbols", "%*&#$", 0.05), ("lists", "\n", 0.03)) if sum(map(t.count, chars)) > most * n), "prose")
+
+    cells, sums = {}, Counter()
+    for d in docs:
+        t = d.text or ""
+        cells[d.doc_id] = (d.source if d.source in targets["source"] else "*", d.lang if d.lang in targets["lang"] else "*", topic(t), len(re.split("[ \n\t]", t)) if t else 0)
+        sums[cells[d.doc_id][:3]] += cells[d.doc_id][3]
+    out = {r.doc_id: r for r in mixing.op6_mixing(spark, folder).collect()}
+    assert {i: (r.source, r.lang, r.topic, r.n_tokens) for i, r in out.items()} == cells
+    total = sum(sums.values())
+    weight, chance = ({cells[i][:3]: r[k] for i, r in out.items()} for k in ("weight", "probability"))
+    assert all(r.weight == weight[cells[i][:3]] and r.probability == chance[cells[i][:3]] for i, r in out.items())
+    for axis, name in enumerate(targets):  # weights meet the targets of the levels that occur
+        there = {v: s for v, s in targets[name].items() if any(c[axis] == v for c in sums)}
+        for v, share in there.items():
+            assert sum(n * weight[c] for c, n in sums.items() if c[axis] == v) / total == pytest.approx(share / sum(there.values()), abs=1e-3)
+    # as many tokens as wanted are kept on average; a level below its share is kept whole, the others keep the shares that are left
+    assert sum(n * chance[c] for c, n in sums.items()) / total == pytest.approx(mixing.BUDGET, abs=1e-6)
+    for d in docs:
+        h = xxhash.xxh64_intdigest(mixing.SEED.to_bytes(4, "little"), 42)
+        h = xxhash.xxh64_intdigest((d.text or "").encode(), xxhash.xxh64_intdigest(d.doc_id.to_bytes(8, "little", signed=True), h))
+        assert out[d.doc_id].sampled == ((h >> 11) / float(1 << 53) < out[d.doc_id].probability)
+
+
+def test_mixing_with_a_column_of_its_name(spark):
+    df = spark.createDataFrame([(i, "a b c", "en", "src0", i) for i in range(50)], "doc_id long, text string, lang string, source string, __mix long")
+    out = mixing.draw(df)
+    assert out.columns == df.columns and all(r.doc_id == r["__mix"] for r in out.collect())
+
+
+def test_keep_columns_with_dots(spark):
+    import public_tokenizers
+
+    df = spark.createDataFrame([(1, "http://a.com/en/", "x y")], "`doc.id` long, url string, text string")
+    assert url_filter.judge(df, "url", url_filter.RULES, ["doc.id"]).collect()[0][0] == 1
+    assert pieces.encode_texts(df, "text", public_tokenizers.path("piece_bpe_32k.model"), ["doc.id"]).collect()[0][0] == 1
+
+
 def test_raking_fits_marginals():
     rng = random.Random(6)
     targets = {"source": {"a": 0.5, "b": 0.3, "*": 0.2}, "lang": {"en": 0.7, "*": 0.3}, "topic": {"x": 0.4, "y": 0.6}}
@@ -290,6 +372,19 @@ def test_pii(spark, docs):
     assert "[email]" in clean[5] and "4111" not in clean[5] and clean[1] == ROWS[0][1]
 
 
+def test_pii_of_many_matches(spark):
+    """Over several chunks: places, and scores by the characters before, in close and far matches."""
+    rng = random.Random(14)
+    many = "".join(rng.choice(["a@b.co ", "contact x@y.de, ", "email ", "e" * 60 + " ", "-"]) for _ in range(4000))
+    texts = [many, "q@w.e " * 20000]
+    out = {r.id: r.email for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        want = [(m.start(), m.end(), 0.6 if re.search(r"\b(?:e-?mail|contact|write to)\b", text[max(0, m.start() - 48) : m.start()]) else 0.5) for m in re.finditer(BASE["email"], text)]
+        assert [(s.start, s.end, s.score) for s in out[i]] == want
+    clean = pii.redact(spark.createDataFrame([(1, many)], "doc_id long, text string"), kinds=("email",)).collect()[0].text
+    assert clean == re.sub(BASE["email"], "[email]", many)
+
+
 def test_pii_query(spark, folder):
     want = Counter()
     for i, t, *_ in ROWS:
@@ -478,20 +573,75 @@ def test_language_id(spark, docs):
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
 
 
-def test_cross_parsing_counts_longest_matches():
-    sample, text = "abracadabra abra cadabra", "abrab cadax zzabra"
-    model = language_id.LanguageModel((("x", sample),))
-    source, coded = model._symbols([sample])[0].tolist(), model._symbols([text])[0].tolist()
-    inside = lambda part: any(source[i : i + len(part)] == part for i in range(len(source)))
-    phrases, i = 0, 0
+def brute_phrases(source, coded):
+    """Greedy longest matches, by binary search among the sorted suffixes of the sample."""
+    suffixes = sorted(source[i:] for i in range(len(source)))
+    phrases = i = 0
     while i < len(coded):
-        n = max((k for k in range(1, len(coded) - i + 1) if inside(coded[i : i + k])), default=1)
-        phrases, i = phrases + 1, i + n
-    state, ends = 0, 0
-    for c in coded:
-        move = int(model.tables[0][state * model.width + c])
-        state, ends = move >> 2, ends + (move & 3)
-    assert ends + (state > 0) == phrases
+        rest, n = coded[i : i + 4000], 0
+        at = bisect.bisect_left(suffixes, rest)
+        for s in suffixes[max(at - 1, 0) : at + 1]:
+            n = max(n, len(os.path.commonprefix([s, rest])))
+        phrases, i = phrases + 1, i + max(n, 1)
+    return phrases
+
+
+def coded(model, k, text):
+    return "".join(map(chr, model.symbol[k][model._letters([text])[0]].tolist()))
+
+
+@pytest.mark.parametrize("piece", [2048, 5, 1])
+def test_cross_parsing_counts_longest_matches(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    sample = "abracadabra abra cadabra"
+    model = language_id.LanguageModel((("x", sample),))
+    rng = random.Random(13)
+    texts = ["abrab cadax zzabra", "", "a", "zz", "abracadabra abra cadabra" * 3, *("".join(rng.choice("abrcd z") for _ in range(rng.randrange(300))) for _ in range(40))]
+    flat, lengths = model._letters(texts)
+    assert model.phrases(0, flat, lengths).tolist() == [brute_phrases(coded(model, 0, sample), coded(model, 0, t)) for t in texts]
+
+
+def test_language_id_query_on_documents(spark):
+    """The registered query on the smallest given table: phrases of whole texts, labels and scores by brute force."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sample = language_id.sample(docs)
+    model = language_id.LanguageModel(sample)
+    sources = [coded(model, k, t) for k, (_, t) in enumerate(sample)]
+    suffixes = [sorted(s[i : i + 4000] for i in range(len(s))) for s in sources]
+    out = language_id.op10_language_id(spark, folder).collect()
+    assert len(out) == docs.count() and {r.doc_id for r in out} == set(texts)
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in out if r.held_out and r.lang_pred != "und" and langs[r.doc_id]]
+    assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.97 * len(held)
+    for r in sorted(out, key=lambda r: len(texts[r.doc_id] or ""))[::5]:
+        text = texts[r.doc_id] or ""
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        rates = []
+        for k, bits in enumerate(model.bits):
+            symbols, phrases, i = coded(model, k, text), 0, 0
+            while i < len(symbols):
+                rest = symbols[i : i + 4000]
+                at = bisect.bisect_left(suffixes[k], rest)
+                n = max((len(os.path.commonprefix([s, rest])) for s in suffixes[k][max(at - 1, 0) : at + 1]), default=0)
+                phrases, i = phrases + 1, i + max(n, 1)
+            rates.append(phrases * bits / len(symbols))
+        first, second = sorted(rates)[:2]
+        assert r.lang_pred == model.languages[rates.index(first)] and r.score == pytest.approx(1 - first / second)
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Rows of one repeated identifier, and more languages than any fixed number, stay within the bound; no label is left out."""
+    monkeypatch.setattr(language_id, "CHARS", 50)
+    rows = [(1, f"abc {i} def", "en") for i in range(600)] + [(i, f"wort {i}", f"l{i % 90:02}") for i in range(2000, 2400)] + [(7, "x" * 500, "en"), (8, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = dict(language_id.sample(df))
+    assert set(sample) == {lang for i, t, lang in rows if t and zlib.crc32(str(i).encode()) % 4 != 2} and len(sample) > 64
+    assert all(sum(c != "\n" for c in t) <= 50 for t in sample.values())
 
 
 def test_keep_known_without_labels(spark):
