@@ -138,31 +138,33 @@ def shared_items(held: DataFrame) -> DataFrame:
 
     # 50 words have 99 bytes at least
     records = materialise(held.where(F.length("raw") >= 2 * WORDS - 1).mapInArrow(first, "mark long, span long, doc long, rk long, item long"), "passages")
-    one = F.struct("doc", "rk")
-    marks = records.groupBy("mark").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low != high").select("mark")
+    # a document as one number: sums of whole numbers are hashed where structs would be sorted
+    who = F.xxhash64("doc", "rk")
+    marks = records.groupBy("mark").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low != high").select("mark")
     left = materialise(records.join(marks, "mark", "left_semi"), "shared-marks")
     discard(records)
-    kinds = materialise(left.groupBy("mark", "span").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.min(F.struct("doc", "rk", "item")).alias("one")), "passage-kinds")
+    kinds = left.groupBy("mark", "span").agg(F.min(who).alias("low"), F.max(who).alias("high"), *(F.first(c).alias(c) for c in ("doc", "rk", "item")))
+    kinds = materialise(kinds, "passage-kinds")
     done = left.join(kinds.where("low != high").select("mark", "span"), ["mark", "span"], "left_semi").select("doc", "rk", "item")
     several = kinds.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    rims = kinds.join(several, "mark", "left_semi").select("one.*", "high")
-    wanted = rims.groupBy("doc", "rk").agg(F.collect_list(F.struct("item", F.col("high.doc").alias("doc"), F.col("high.rk").alias("rk"))).alias("items"))
+    rims = kinds.join(several, "mark", "left_semi").select("doc", "rk", "item", "low", "high")
+    wanted = rims.groupBy("doc", "rk").agg(F.collect_list(F.struct("item", "low", "high")).alias("items"))
 
     def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in _slices(batch, 2, SLICE):
                 lists = batch.column(3).slice(start, len(texts))
                 sizes = pc.list_value_length(lists).to_numpy()
-                item, doc, rk = (c.to_numpy() for c in lists.flatten().flatten())
+                item, low, high = (c.to_numpy() for c in lists.flatten().flatten())
                 mark, name, owner, place, which = Passages(texts).windows(np.split(item, np.cumsum(sizes)[:-1]))
                 rows = pa.array(owner + start)
-                yield pa.RecordBatch.from_arrays([_signed(mark), _signed(name), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), pa.array(doc[which]), pa.array(rk[which])], ["mark", "span", "doc", "rk", "item", "other", "other_rk"])
+                yield pa.RecordBatch.from_arrays([_signed(mark), _signed(name), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), pa.array(low[which]), pa.array(high[which])], ["mark", "span", "doc", "rk", "item", "low", "high"])
 
-    windows = held.join(wanted.hint("shuffle_hash"), ["doc", "rk"]).select("doc", "rk", "raw", "items").mapInArrow(second, "mark long, span long, doc long, rk long, item long, other long, other_rk long")
+    windows = held.join(wanted.hint("shuffle_hash"), ["doc", "rk"]).select("doc", "rk", "raw", "items").mapInArrow(second, "mark long, span long, doc long, rk long, item long, low long, high long")
     windows = materialise(windows, "passage-windows")
-    again = windows.groupBy("mark", "span").agg(F.min(one).alias("low"), F.max(F.struct(F.col("other").alias("doc"), F.col("other_rk").alias("rk"))).alias("high")).where("low != high").select("mark", "span")
+    again = windows.groupBy("mark", "span").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("mark", "span")
     singles = windows.join(again, ["mark", "span"], "left_semi").select("doc", "rk", "item")
-    found = materialise(done.unionByName(singles).distinct().groupBy("doc", "rk").agg(F.collect_list("item").alias("shared")), "shared")
+    found = materialise(done.unionByName(singles).groupBy("doc", "rk").agg(F.collect_list("item").alias("shared")), "shared")
     for table in (left, kinds, windows):
         discard(table)
     release(held.sparkSession)

@@ -249,10 +249,10 @@ def repeated_items(held: DataFrame) -> DataFrame:
     left = materialise(records.join(cores, "core", "left_semi"), "repeated-cores")
     discard(records)
     # one row for each span of a core: all that is kept of a group, however large
-    kinds = materialise(left.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "rk", "item")).alias("one")), "spans")
+    kinds = materialise(left.groupBy("core", "span").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "rk", "item"))), "spans")
     done = left.join(kinds.where("n > 1").select("core", "span"), ["core", "span"], "left_semi").select("doc", "rk", "item")
     several = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
-    rims = kinds.join(several, "core", "left_semi").select("one.*").where(F.col("item") % CODES != BARE)
+    rims = kinds.join(several, "core", "left_semi").select("doc", "rk", "item").where(F.col("item") % CODES != BARE)
     wanted = rims.groupBy("doc", "rk").agg(F.collect_list("item").alias("items"))
 
     def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
