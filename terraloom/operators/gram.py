@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +68,65 @@ def from_row(row, columns: list[str]) -> Gram:
     return Gram(columns, m, int(row["_n"]))
 
 
+#: Columns up to which the products are sums that Spark generates code for; wider tables are multiplied in NumPy, an Arrow batch at a time.
+NARROW = 20
+
+
+def wide_sums(rows: DataFrame, by: str | None, columns: list[str], weight: Column | None) -> DataFrame:
+    """(by, _n, _m): the number of complete rows and the products of [1, *columns] as one array for each group. Each partition gives one array a
+    group, whatever its rows; these are added up in two steps, so that no task takes the arrays of all partitions."""
+    k = len(columns) + 1
+    group = (F.col(by) if by else F.lit(0)).alias("_g")
+    chosen = rows.select(group, (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w"), *(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)))
+
+    def out(held: dict, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([m for _, m in held.values()], pa.list_(pa.float64()))], ["_g", "_n", "_m"])
+
+    def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            x = np.stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])], axis=1)
+            w = batch.column(1).to_numpy(zero_copy_only=False)
+            whole = np.isfinite(x).all(axis=1) & np.isfinite(w)
+            groups = batch.column(0).dictionary_encode()
+            code = groups.indices.to_numpy(zero_copy_only=False)
+            for i, key in enumerate(groups.dictionary.to_pylist()):
+                at = whole & (code == i)
+                own = held.setdefault(key, [0, np.zeros(k * k)])
+                own[0] += int(at.sum())
+                own[1] += ((x[at] * w[at, None]).T @ x[at]).ravel()
+        if held:
+            yield out(held, batch.schema.field(0).type)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                own = held.setdefault(key, [0, np.zeros(k * k)])
+                own[0] += batch.column(1)[i].as_py()
+                own[1] += batch.column(2)[i].values.to_numpy()
+        if held:
+            yield out(held, batch.schema.field(0).type)
+
+    schema = f"_g {chosen.dtypes[0][1]}, _n long, _m array<double>"
+    parts = chosen.where("_g is not null").mapInArrow(multiply, schema).withColumn("_p", F.spark_partition_id() % 64)
+    return parts.repartition("_p", "_g").drop("_p").mapInArrow(add, schema).repartition("_g").mapInArrow(add, schema)
+
+
+def _wide(row, columns: list[str]) -> Gram:
+    k = len(columns) + 1
+    return Gram(columns, np.array(row["_m"], float).reshape(k, k), int(row["_n"]))
+
+
 def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> Gram:
     """Gram matrix of the complete rows, of those with a positive weight if there is one (scaled to mean 1)."""
-    rows = complete(df, columns if weight is None else [*columns, weight])
-    rows = rows if weight is None else rows.where(F.col(weight) > 0)
-    row = rows.agg(F.count("*").alias("_n"), *product_columns(columns, F.col(weight) if weight else None)).first()
-    out = from_row(row, columns)
+    if len(columns) > NARROW:
+        row = wide_sums(df if weight is None else df.where(F.col(weight) > 0), None, columns, F.col(weight) if weight else None).first()
+        out = _wide(row, columns) if row else Gram(columns, np.zeros((len(columns) + 1,) * 2), 0)
+    else:
+        rows = complete(df, columns if weight is None else [*columns, weight])
+        rows = rows if weight is None else rows.where(F.col(weight) > 0)
+        out = from_row(rows.agg(F.count("*").alias("_n"), *product_columns(columns, F.col(weight) if weight else None)).first(), columns)
     if weight and out.matrix[0, 0] > 0:
         out.matrix *= out.n / out.matrix[0, 0]
     return out
@@ -79,6 +134,8 @@ def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> Gram:
 
 def grams_by(df: DataFrame, by: str, columns: list[str], weight: Column | None = None) -> dict:
     """Gram of each group; for groups that are few by design (replicates, splits, folds)."""
+    if len(columns) > NARROW:
+        return {r["_g"]: _wide(r, columns) for r in wide_sums(df, by, columns, weight).collect()}
     rows = complete(df, columns).groupBy(by).agg(F.count("*").alias("_n"), *product_columns(columns, weight)).collect()
     return {r[by]: from_row(r, columns) for r in rows}
 
@@ -233,3 +290,14 @@ def spline_test(df: DataFrame, y: str, x: str, controls: list[str], inner: int =
     p = rows.agg(F.percentile(F.col(x), F.array(*(F.lit(0.05 + 0.9 * i / (inner - 1)) for i in range(inner))))).first()[0]
     spread, names = spline_columns(rows, x, sorted(set(p)))
     return wald(ols(spread, y, [x, *names, *controls]), names)
+
+
+def correlations(g: Gram) -> list[tuple[str, str, float]]:
+    """(a, b, r) of each two columns; 0 without spread."""
+    out = []
+    for i, a in enumerate(g.columns):
+        for b in g.columns[i + 1 :]:
+            _, ab, bb = g.residual(a, b, [])
+            aa = g.sst(a)
+            out.append((a, b, float(ab / (aa * bb) ** 0.5) if aa > 0 and bb > 0 else 0.0))
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terraloom.functions.tails import NORMAL, bca, t_two_sided
 
 from .gram import Gram, complete, from_row, gram, incremental_r2, product_columns
-from .splits import draw, permuted
+from .splits import draw
 
 #: Cumulative probabilities of a Poisson count of mean 1: a row's weight in a replicate.
 POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
@@ -56,18 +56,11 @@ def bootstrap_ci(df: DataFrame, y: str, x: str, controls: list[str], key: str, r
 
 
 def permutation_p(df: DataFrame, y: str, x: str, controls: list[str], key: str, permutations: int = 99, seed: int = 0) -> dict:
-    """Share of permuted residuals of the outcome that score as high (Freedman-Lane), with one added above and below."""
-    from .scoring import residual_column
-
-    rows = residual_column(complete(df, [y, x, *controls]).select(key, y, x, *controls), y, controls, "_e")
-    observed = incremental_r2(gram(rows, [*controls, x, y]), y, x, controls)
-    fitted = rows.withColumn("_fit", F.col(y) - F.col("_e")).persist()
-    hits = 0
-    for k in range(permutations):
-        shuffled = permuted(fitted, key, "_e", seed + k).withColumn("_y", F.col("_fit") + F.col("permuted"))
-        hits += incremental_r2(gram(shuffled, [*controls, x, "_y"]), "_y", x, controls) >= observed
-    fitted.unpersist()
-    return {"observed": observed, "p": (hits + 1) / (permutations + 1), "permutations": permutations}
+    """Share of permuted residuals of the outcome that score as high (Freedman-Lane), with one added above and below: one job for all permutations."""
+    from .resampling import permutation_r2
+
+    out = permutation_r2(df, y, x, controls, key, permutations, seed)
+    return {k: out[k] for k in ("observed", "p", "permutations")}
 
 
 def share_p(statistic: Column, observed: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import combinations, product
+from itertools import combinations
+from math import prod
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,20 +88,110 @@ def split_grams(df: DataFrame, columns: list[str], group: str, splits: int, shar
     return [(grams[2 * s], grams[2 * s + 1]) for s in range(splits) if 2 * s in grams and 2 * s + 1 in grams]
 
 
+def simplex_batch(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`simplex_fit` of many problems at once: g is (n, k, k), c is (n, k). Weights (n, k) and associations (n)."""
+    n, k = c.shape
+    best, weights = np.full(n, -1.0), np.tile(np.eye(k)[0], (n, 1))
+    for m in range(1, k + 1):
+        for active in combinations(range(k), m):
+            a = np.array(active)
+            sub = g[:, a[:, None], a[None, :]]
+            own = np.einsum("nii->ni", sub).prod(axis=1)
+            fit = (own > 0) & (np.linalg.det(sub) > 1e-12 * own)  # columns of unit spread that aren't one another's
+            w = np.zeros((n, m))
+            if fit.any():
+                w[fit] = np.linalg.solve(sub[fit], c[fit][:, a][:, :, None])[:, :, 0]
+            for sign in (1, -1):
+                v = sign * w
+                total = v.sum(axis=1)
+                ok = fit & (total > 0)
+                share = np.divide(v, total[:, None], out=np.zeros_like(v), where=ok[:, None])
+                ok &= (share >= -1e-9).all(axis=1)
+                if not ok.any():
+                    continue
+                full = np.zeros((n, k))
+                share = np.maximum(share, 0)
+                full[:, a] = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
+                den = np.einsum("ni,nij,nj->n", full, g, full)
+                value = np.divide(np.abs((full * c).sum(axis=1)), np.sqrt(np.maximum(den, 0)), out=np.zeros(n), where=den > 0)
+                better = ok & (value > best + 1e-12)
+                best[better], weights[better] = value[better], full[better]
+    return weights, best
+
+
+def decode(index: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Positions (n, channels) of a candidate's number among the product of the channels' columns, the last channel fastest."""
+    return np.stack(np.unravel_index(index, sizes), axis=1)
+
+
+def decode_column(column: int, radii: list[float], stats: list[str]) -> tuple[float, str]:
+    """Radius and statistic of a channel's column, statistics fastest."""
+    return radii[column // len(stats)], stats[column % len(stats)]
+
+
+def candidate_scores(index: np.ndarray, places: list[list[int]], parts: list[tuple[np.ndarray, np.ndarray]], counts: list[tuple[int, int]], lost: int) -> tuple[np.ndarray, np.ndarray]:
+    """Held-out t (n, splits) and mean weights (n, channels) of candidates; parts are the residual products, the outcome last, of each split."""
+    at = decode(index, [len(p) for p in places])
+    chosen = np.stack([np.asarray(p)[at[:, i]] for i, p in enumerate(places)], axis=1)
+    held, weights = np.zeros((len(index), len(parts))), np.zeros(chosen.shape)
+    rows, cols = chosen[:, :, None], chosen[:, None, :]
+    for s, ((train, test), (_, n)) in enumerate(zip(parts, counts)):
+        scale = np.sqrt(np.maximum(np.diag(train)[chosen], 1e-300))
+        w, _ = simplex_batch(train[rows, cols] / (scale[:, :, None] * scale[:, None, :]), train[chosen, -1] / scale)
+        raw = w / scale
+        den = np.einsum("ni,nij,nj->n", raw, test[rows, cols], raw) * test[-1, -1]
+        r = np.minimum(np.divide(np.abs((raw * test[chosen, -1]).sum(axis=1)), np.sqrt(np.maximum(den, 0)), out=np.zeros(len(index)), where=den > 0), 1 - 1e-12)
+        held[:, s] = r * np.sqrt((n - lost) / (1 - r * r)) if n > lost else 0.0
+        weights += w / len(parts)
+    return held, weights
+
+
+def sweep_table(df: DataFrame, y: str, channels: dict[str, list[str]], controls: list[str], group: str, splits: int = 10, share: float = 0.25, seed: int = 0, block: int = 8192) -> DataFrame:
+    """candidate, mean, se, weights of every combination of one column of each channel. The rows are read once, for one Gram a split; candidates
+    are a range that tasks go through in blocks, so none of them is a step of the driver's."""
+    columns = [*dict.fromkeys([c for cs in channels.values() for c in cs])]
+    parts = split_grams(df, [*dict.fromkeys([*columns, *controls, y])], group, splits, share, seed)
+
+    def products(g: Gram) -> np.ndarray:
+        a, c, yy = residual_gram(g, y, columns, controls)
+        return np.block([[a, c[:, None]], [c[None, :], np.array([[yy]])]])
+
+    made, counts = [(products(a), products(b)) for a, b in parts], [(a.n, b.n) for a, b in parts]
+    places, total = [[columns.index(c) for c in cs] for cs in channels.values()], prod(len(cs) for cs in channels.values())
+    lost = 2 + len(controls)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index = batch.column(0).to_numpy()
+            for i in range(0, len(index), block):
+                part = index[i : i + block]
+                held, weights = candidate_scores(part, places, made, counts, lost)
+                se = held.std(axis=1, ddof=1) / np.sqrt(held.shape[1]) if held.shape[1] > 1 else np.zeros(len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held.mean(axis=1)), pa.array(se), pa.array(list(weights), pa.list_(pa.float64()))], ["candidate", "mean", "se", "weights"])
+
+    session = df.sparkSession
+    tasks = max(1, min(-(-total // block), session.sparkContext.defaultParallelism))
+    return session.range(0, total, 1, tasks).mapInArrow(run, "candidate long, mean double, se double, weights array<double>")
+
+
 def sweep(df: DataFrame, y: str, channels: dict[str, list[str]], controls: list[str], group: str, splits: int = 10, share: float = 0.25, seed: int = 0, top: int = 10) -> dict:
     """Every combination of one column (radius and statistic) for each channel, by its mean held-out t. Reports the best, the shortlist, and the
     one within a standard error of the best with the least total radius."""
-    columns = [*dict.fromkeys([*(c for cs in channels.values() for c in cs), *controls, y])]
-    parts = split_grams(df, columns, group, splits, share, seed)
-    rows = []
-    for combo in product(*channels.values()):
-        fits = [fit_columns(a, b, y, combo, controls) for a, b in parts]
-        held = np.array([f.held for f in fits])
-        rows.append({"columns": combo, "mean": float(held.mean()), "se": float(held.std(ddof=1) / np.sqrt(len(held))) if len(held) > 1 else 0.0, "weights": np.mean([f.weights for f in fits], axis=0)})
-    rows.sort(key=lambda r: -r["mean"])
-    radius = lambda r: sum(int("".join(ch for ch in c if ch.isdigit()) or 0) for c in r["columns"])
-    near = [r for r in rows if r["mean"] >= rows[0]["mean"] - rows[0]["se"]]
-    return {"best": rows[0], "shortlist": rows[:top], "one_se": min(near, key=radius), "candidates": len(rows)}
+    scored = sweep_table(df, y, channels, controls, group, splits, share, seed).persist()
+    names = list(channels.values())
+    row = lambda r: {"columns": tuple(names[i][j] for i, j in enumerate(decode(np.array([r.candidate]), [len(n) for n in names])[0])), "mean": r["mean"], "se": r.se, "weights": np.array(r.weights)}
+    short = scored.orderBy(F.desc("mean"), "candidate").limit(top).collect()
+    radius = lambda c: int("".join(ch for ch in c if ch.isdigit()) or 0)
+    # the total radius of a candidate, from its number
+    rest, sizes = F.col("candidate"), [len(n) for n in names]
+    total = F.lit(0)
+    for i in reversed(range(len(sizes))):
+        total = total + F.element_at(F.array(*(F.lit(radius(c)) for c in names[i])), (rest % sizes[i]).cast("int") + 1)
+        rest = F.floor(rest / sizes[i]).cast("long")
+    near = scored.where(F.col("mean") >= short[0]["mean"] - short[0].se).orderBy(total, F.desc("mean"), "candidate").limit(1).collect()
+    out = {"best": row(short[0]), "shortlist": [row(r) for r in short], "one_se": row(near[0]), "candidates": prod(sizes)}
+    scored.unpersist()
+    return out
 
 
 def choose_form(df: DataFrame, y: str, forms: dict[str, list[str]], controls: list[str], group: str, splits: int = 10, share: float = 0.25, seed: int = 0) -> tuple[str, dict[str, float]]:

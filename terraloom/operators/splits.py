@@ -54,10 +54,10 @@ def exposure_groups(df: DataFrame, value: str, n: int = 4, name: str = "quartile
 
 
 def spatial_blocks(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Dense numbers, row by row, of the occupied blocks of a square grid from the least coordinates. Only distinct blocks are ranked."""
+    """Dense numbers, row by row, of the occupied blocks of a square grid from the least coordinates. Only distinct blocks are numbered, in ranges."""
     low = df.agg(F.min(x).alias("x"), F.min(y).alias("y")).first()
     at = df.withColumn("_ix", F.floor((F.col(x) - F.lit(low.x)) / size).cast("long")).withColumn("_iy", F.floor((F.col(y) - F.lit(low.y)) / size).cast("long"))
-    dense = at.select("_iy", "_ix").distinct().withColumn("block", F.row_number().over(Window.orderBy("_iy", "_ix")) - 1)
+    dense = numbered(at.select("_iy", "_ix").distinct(), [F.col("_iy"), F.col("_ix")], "_b").select("_iy", "_ix", (F.col("_b") - 1).cast("int").alias("block"))
     return at.join(dense, ["_iy", "_ix"]).drop("_iy", "_ix")
 
 
@@ -87,9 +87,8 @@ def stripe_blocks(blocks: DataFrame, share: float, start: int = 0) -> DataFrame:
 def random_blocks(blocks: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """Whole blocks in the order of their draws until the share of rows is nearest."""
     sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    order = Window.orderBy(draw(F.col("block"), seed), "block").rowsBetween(Window.unboundedPreceding, 0)
-    run = sizes.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    goal = F.col("all") * share
+    run = running(sizes.withColumn("_d", draw(F.col("block"), seed)), [F.col("_d"), F.col("block")], F.col("n"), "upto")
+    goal = F.lit(blocks.count() * share)
     return run.withColumn("test", (F.col("upto") <= goal) | ((F.col("upto") - F.col("n") < goal) & (F.col("upto") - goal < goal - (F.col("upto") - F.col("n"))))).select("block", "n", "test")
 
 
@@ -147,12 +146,16 @@ def group_blocks(df: DataFrame, group: str, size: float) -> DataFrame:
 
 def running(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """Running sum of a value over the whole table in an order: sums inside ranges of the order, and the few totals of the ranges before, so no
-    task sorts all rows."""
+    task sorts all rows. The bounds of ranges come from a sample that differs from run to run, so the table in its ranges is written to the shared
+    folder: the totals and the rows are then of the same ranges, and lost executors don't change them."""
+    from terraloom.sources.work import written
+
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_v", value).repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).persist()
+    ranged = written(df.withColumn("_v", value).repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_p").agg(F.sum("_v").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
     inside = F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # one row for each range: as many as shuffle partitions
     return ranged.withColumn("_run", inside).join(F.broadcast(totals), "_p").withColumn(name, F.col("_off") + F.col("_run")).drop("_p", "_v", "_run", "_off")
 
 
