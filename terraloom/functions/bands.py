@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLOUD_CLASSES = (3, 7, 8, 9, 10, 11)
@@ -61,3 +61,25 @@ def mask_water(value: Column, occurrence: Column, share: float = 50.0) -> Column
 def class_share(mask: Column, *classes: int) -> Column:
     """Share of an array's elements that are one of the classes."""
     return F.when(F.size(mask) > 0, F.size(F.filter(mask, lambda x: x.isin(*classes))) / F.size(mask))
+
+
+def landsat_sensors(spark: SparkSession, sensors: str = "all", reflectance: str = "surface") -> DataFrame:
+    """(sensor, prep, before_failure), old to new: which band arithmetic a sensor's scenes take, and whether only those from before its scan line
+    corrector failed count. `no_slc_off` leaves the striped scenes and the newest sensor out. A dimension table of four rows."""
+    if sensors not in ("all", "no_slc_off") or reflectance not in ("surface", "toa"):
+        raise ValueError("sensors is 'all' or 'no_slc_off', reflectance 'surface' or 'toa'")
+    careful = sensors == "no_slc_off"
+    kind = "" if reflectance == "surface" else "_toa"
+    rows = [(i, name, f"{prep}{kind}", careful and striped) for i, (name, prep, striped) in enumerate(reversed(SENSORS))]
+    return spark.createDataFrame([r for r in rows if not careful or r[1] != "LC09"], "age int, sensor string, prep string, before_failure boolean")
+
+
+def landsat_scenes(scenes: DataFrame, sensors: DataFrame, start: Column, end: Column, failed: str = "2003-06-01") -> DataFrame:
+    """Scenes of a half-open window from the sensors of a set, without band arithmetic: for counting. The four sensors are broadcast."""
+    kept = scenes.where((F.col("ts") >= start) & (F.col("ts") < end)).join(F.broadcast(sensors), "sensor")
+    return kept.where(~F.col("before_failure") | (F.col("ts") < F.to_date(F.lit(failed))))
+
+
+def pick_satellite(end: Column, satellite: str = "auto", begin: str = "2017-03-28") -> Column:
+    """Landsat for a window that ends (half-open) before the newer satellite's collection begins; any explicit choice stays."""
+    return F.lit(satellite) if satellite != "auto" else F.when(end <= F.to_date(F.lit(begin)), "landsat").otherwise("sentinel2")

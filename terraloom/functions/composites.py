@@ -117,3 +117,13 @@ def resolve(columns: list[str], channel: str) -> str:
         if name in lower:
             return lower[name]
     raise ValueError(f"no column for {channel}: one of {', '.join(ALIASES[channel])} is needed")
+
+
+def check_disjoint(aliases: dict[str, tuple[str, ...]] = ALIASES) -> None:
+    """Accepted names of different channels mustn't meet, whatever their case."""
+    seen: dict[str, str] = {}
+    for channel, names in aliases.items():
+        for n in {v.lower() for v in names}:
+            if n in seen:
+                raise ValueError(f"{channel} and {seen[n]} share the name {n}")
+            seen[n] = channel

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 YEAR_S = 365.25 * 86400
@@ -65,3 +65,51 @@ def season_bounds(year: Column, first: int, last: int) -> tuple[Column, Column]:
     """First and last day of a season of months in a year (its end in the next one if it goes over)."""
     end = year if first <= last else year + 1
     return F.make_date(year, F.lit(first), F.lit(1)), F.last_day(F.make_date(end, F.lit(last), F.lit(1)))
+
+
+def shift_day(day: Column, days: int) -> Column:
+    return F.date_add(day, days)
+
+
+def window_text(start: Column, end: Column) -> Column:
+    """First to last day of a half-open window."""
+    return F.concat_ws(" to ", F.date_format(start, "yyyy-MM-dd"), F.date_format(F.date_sub(end, 1), "yyyy-MM-dd"))
+
+
+def substitute_year(start: Column, end: Column, year: int = 2012, to: int = 2013) -> tuple[Column, Column, Column]:
+    """A half-open window that lies wholly in one year, on the same days of another (29 February on the 28th), and whether it was moved."""
+    last = F.date_sub(end, 1)
+    moved = (F.year(start) == year) & (F.year(last) == year)
+    move = lambda d: F.add_months(d, 12 * (to - year))
+    return F.when(moved, move(start)).otherwise(start), F.when(moved, F.date_add(move(last), 1)).otherwise(end), moved
+
+
+def window_miss(captures: Column, target_year: Column, max_gap: int | None) -> Column:
+    """Which rule left a location without a capture: `year` when none is near the target year, else `month`. captures: array of structs with year."""
+    if max_gap is None:
+        return F.lit("month")
+    near = F.exists(captures, lambda c: F.coalesce(F.abs(c["year"] - target_year) <= max_gap, F.lit(False)))
+    return F.when(target_year.isNull() | near, "month").otherwise("year")
+
+
+def with_year(df: DataFrame, date: str, name: str = "_year") -> DataFrame:
+    """Rows whose date is told, with its year."""
+    return df.withColumn(name, F.year(parse_date(F.col(date)))).where(F.col(name).isNotNull())
+
+
+def years_of(frames: list[DataFrame], date: str) -> DataFrame:
+    """(year), distinct and in order, over several tables."""
+    out = None
+    for df in frames:
+        if date not in df.columns:
+            raise ValueError(f"a table has no column {date}")
+        part = with_year(df, date).select(F.col("_year").alias("year"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct().orderBy("year")
+
+
+def year_windows(df: DataFrame, date: str, first: int, last: int) -> DataFrame:
+    """(year, rows, first day, last day) of the season months of each year that occurs."""
+    years = with_year(df, date).groupBy(F.col("_year").alias("year")).agg(F.count("*").alias("n"))
+    begin, end = season_bounds(F.col("year"), first, last)
+    return years.select("year", "n", begin.alias("first_day"), end.alias("last_day"))

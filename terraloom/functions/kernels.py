@@ -66,3 +66,10 @@ def log_widths(radii: np.ndarray) -> np.ndarray:
         return np.ones(1)
     edge = np.concatenate([[x[0]], (x[1:] + x[:-1]) / 2, [x[-1]]])
     return np.diff(edge)
+
+
+def radius_bounds(low: float, high: float, step: float) -> tuple[int, int, int]:
+    """Whole bounds and step of a radius search, in order, from 1; the upper one is a whole number of steps above the lower."""
+    step = max(1, round(step))
+    a, b = sorted((max(1, round(low)), round(high)))
+    return a, a + max(0, b - a) // step * step, step

@@ -56,14 +56,17 @@ def zonal_pairs(discs: DataFrame, cells: DataFrame, radii: list[float], size: fl
 
 
 def haversine_nearest(points: DataFrame, panoramas: DataFrame, key: str, pano: str, radius_m: float) -> DataFrame:
-    """Nearest panorama within the radius on the sphere; of equally near ones the last. Buckets are rows of latitude as high as the radius,
-    cut along the longitude by the width that the radius has at the row."""
+    """Nearest panorama within the radius on the sphere; of equally near ones the last. Buckets are rows of latitude as high as the radius, cut
+    along the longitude, around the circle, by the width that the radius has at the row."""
     high = radius_m / 111_195.0
     row = lambda c: F.floor(F.col(c) / high).cast("long")
     wide = lambda r: high / F.greatest(F.cos(F.radians(F.least(F.abs(r), F.abs(r + 1)) * high + high)), F.lit(0.01))
-    left = points.withColumn("_r", F.explode(F.sequence(row("lat") - 1, row("lat") + 1))).withColumn("_c0", F.floor(F.col("lon") / wide(F.col("_r"))).cast("long"))
-    left = left.withColumn("_c", F.explode(F.sequence(F.col("_c0") - 1, F.col("_c0") + 1)))
-    right = panoramas.withColumn("_r", row("plat")).withColumn("_c", F.floor(F.col("plon") / wide(F.col("_r"))).cast("long"))
+    column = lambda c, r: F.floor(F.pmod(F.col(c) + 180, F.lit(360.0)) / wide(r)).cast("long")
+    turns = lambda r: F.ceil(360.0 / wide(r)).cast("long")  # noqa: E731  the last column may be narrow, so one more is looked into
+    left = points.withColumn("_r", F.explode(F.sequence(row("lat") - 1, row("lat") + 1))).withColumn("_c0", column("lon", F.col("_r")))
+    near = F.array_distinct(F.transform(F.sequence(F.col("_c0") - 2, F.col("_c0") + 2), lambda c: F.pmod(c, turns(F.col("_r")))))
+    left = left.withColumn("_c", F.explode(near))
+    right = panoramas.withColumn("_r", row("plat")).withColumn("_c", column("plon", F.col("_r")))
     pairs = left.join(right, ["_r", "_c"]).withColumn("d", haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("d") <= radius_m)
     best = pairs.groupBy(key).agg(F.min(F.struct("d", (-F.col(pano)).alias("_o"), pano)).alias("_n"))
     return points.join(best, key, "left").select(*points.columns, F.col(f"_n.{pano}").alias(pano), F.col("_n.d").alias("distance_m"))
@@ -105,9 +108,15 @@ def lookup(plan: DataFrame, store: DataFrame, keys: list[str], channel: str, rad
 
 
 def donor_tiles(missing: DataFrame, cached: DataFrame) -> DataFrame:
-    """Cached tiles of the same content key whose rectangle covers a missing one, the least id of several."""
-    pairs = missing.alias("m").join(cached.alias("c"), (F.col("m.content") == F.col("c.content")) & (F.col("c.x0") <= F.col("m.x0")) & (F.col("c.y0") <= F.col("m.y0")) & (F.col("c.x1") >= F.col("m.x1")) & (F.col("c.y1") >= F.col("m.y1")))
-    return pairs.groupBy(F.col("m.tile").alias("tile")).agg(F.min("c.tile").alias("donor"))
+    """Cached tiles of the same content key whose rectangle covers a missing one, the least id of several. Both sides meet in grid buckets as wide as
+    the widest cached tile, so one content key isn't one bucket."""
+    widest = cached.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    size = max(float(widest or 0.0), 1e-9)
+    over = lambda a, b: F.sequence(bucket(F.col(a), size), bucket(F.col(b), size))
+    held = cached.select(F.col("tile").alias("donor"), "content", *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")), F.explode(over("x0", "x1")).alias("_bx"), "y0", "y1").withColumn("_by", F.explode(over("y0", "y1"))).drop("y0", "y1")
+    asked = missing.withColumn("_bx", bucket(F.col("x0"), size)).withColumn("_by", bucket(F.col("y0"), size))
+    pairs = asked.join(held, ["content", "_bx", "_by"]).where((F.col("_x0") <= F.col("x0")) & (F.col("_y0") <= F.col("y0")) & (F.col("_x1") >= F.col("x1")) & (F.col("_y1") >= F.col("y1")))
+    return pairs.groupBy("tile").agg(F.min("donor").alias("donor"))
 
 
 def crop(metric: DataFrame, target: DataFrame, margin: float) -> DataFrame:

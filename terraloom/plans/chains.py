@@ -170,3 +170,19 @@ def check_settings(given: dict) -> dict:
     if faults:
         raise ValueError("; ".join(faults))
     return out
+
+
+def output_stems(name: str, statistics: list[str] = ["median"], chains: list[Chain] = []) -> dict[str, str]:  # noqa: B006
+    """Base name of each output: a chain's name, or a statistic's unless it is the median, follows the run's."""
+    if chains:
+        return {c.name: f"{name}_{c.name}" for c in chains}
+    return {s: name if s == "median" else f"{name}_{s}" for s in statistics}
+
+
+def parse_value(text: str):
+    """A value given as text: a TOML scalar or list if it is one, else the text."""
+    try:
+        value = tomllib.loads(f"v = {text}")["v"]
+    except tomllib.TOMLDecodeError:
+        return text
+    return value.isoformat() if hasattr(value, "isoformat") else value
