@@ -184,3 +184,121 @@ def compare_mixed(df: DataFrame, entity: str, y: str, full: list[str], single: s
         k = len(x) + 3
         out[name] = {"aic": -2 * f["loglik"] + 2 * k, "bic": -2 * f["loglik"] + k * np.log(f["n"])}
     return out | {"delta_bic": out["full"]["bic"] - out["single"]["bic"]}
+
+
+def covariate_impact(df: DataFrame, entity: str, y: str, x: str, controls: list[str]) -> list[dict]:
+    """What each control adds to the random-intercept model: the drop in marginal R2 and the likelihood ratio without it, and the exposure's
+    coefficient and t then. All fits are of sums that one aggregation gives."""
+    fits = MixedSums(df, entity, [x, *controls, y])
+    full, ml = fits.fit(y, [x, *controls]), fits.fit(y, [x, *controls], reml=False)
+    if full["beta"] is None:
+        return []
+    whole, out = fits.marginal_r2(y, [x, *controls]), []
+    for c in controls:
+        rest = [x, *(o for o in controls if o != c)]
+        part, ml_part = fits.fit(y, rest), fits.fit(y, rest, reml=False)
+        out.append({"covariate": c, "r2_drop": max(0.0, whole - fits.marginal_r2(y, rest)), "lr": 2 * (ml["loglik"] - ml_part["loglik"]), "coef_without": float(part["beta"][1]), "t_without": float(part["t"][1]), "coef": float(full["beta"][1])})
+    return out
+
+
+class MixedSums:
+    """Sums of a panel from which any random-intercept model of its columns follows: by entity size, the products of entity sums and of rows. With
+    replicate weights these are the sums of a bootstrap over entities."""
+
+    def __init__(self, df: DataFrame, entity: str, columns: list[str], sums: tuple | None = None):
+        self.columns = columns
+        self.sizes, self.sums, self.gram, self.entities, self.counts = sums or _entity_sums(df, entity, columns)
+
+    def _part(self, names: list[str]) -> np.ndarray:
+        return np.array([0 if n == "1" else 1 + self.columns.index(n) for n in names])
+
+    def fit(self, y: str, x: list[str], reml: bool = True) -> dict:
+        at, p = self._part(["1", *x, y]), len(x) + 1
+        g, sums = self.gram[np.ix_(at, at)], self.sums[:, at[:, None], at[None, :]]
+        n = int(round(g[0, 0]))
+        if n < 6 or self.entities < 2:
+            return {"names": ["1", *x], "beta": None, "t": None, "loglik": None, "n": n}
+        # columns at unit size, so that the small system is well behaved
+        size = np.sqrt(np.maximum(np.diag(g) / n, 1e-300))
+        size[0] = size[-1] = 1.0
+        g, sums = g / np.outer(size, size), sums / np.outer(size, size)
+
+        def at_ratio(ratio: float) -> tuple[float, np.ndarray, float, np.ndarray]:
+            m = g - np.tensordot(ratio / (1 + ratio * self.sizes), sums, axes=(0, 0))
+            a, b, c = m[:p, :p], m[:p, p], m[p, p]
+            beta = np.linalg.lstsq(a, b, rcond=None)[0]
+            rss, dof = max(float(c - b @ beta), 1e-12), n - p if reml else n
+            logdet = float((np.log1p(ratio * self.sizes) * self.counts).sum())
+            # the determinant in the columns' own units
+            own = np.linalg.slogdet(a)[1] + 2 * np.log(size[:p]).sum() if reml else 0.0
+            return -0.5 * (dof * (np.log(2 * np.pi * rss / dof) + 1) + logdet + own), beta, rss / dof, a
+
+        best = max(np.concatenate([[0.0], np.logspace(-6, 4, 81)]), key=lambda r: at_ratio(r)[0])
+        low, high = best / 1.5, max(best * 1.5, 1e-7)
+        for _ in range(60):
+            a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
+            low, high = (low, b) if at_ratio(a)[0] > at_ratio(b)[0] else (a, high)
+        ratio = max([(low + high) / 2, best], key=lambda r: at_ratio(r)[0])
+        like, beta, s2, a = at_ratio(ratio)
+        beta, cov = beta / size[:p], s2 * np.linalg.pinv(a) / np.outer(size[:p], size[:p])
+        se = np.sqrt(np.maximum(np.diag(cov), 0))
+        return {"names": ["1", *x], "beta": beta, "se": se, "t": beta / se, "loglik": like, "sigma2": s2, "tau2": ratio * s2, "n": n, "entities": self.entities, "cov": cov}
+
+    def marginal_r2(self, y: str, x: list[str]) -> float:
+        """Variance of the fixed part, from the same sums, over that of all parts."""
+        f = self.fit(y, x)
+        if f["beta"] is None:
+            return 0.0
+        at = self._part(["1", *x])
+        g, b = self.gram[np.ix_(at, at)], f["beta"]
+        fixed = float(b @ g @ b) / f["n"] - (float(g[0] @ b) / f["n"]) ** 2
+        return fixed / (fixed + f["tau2"] + f["sigma2"])
+
+    def metrics(self, y: str, x: str, controls: list[str]) -> dict:
+        """Of one exposure: REML t, drop in marginal R2, likelihood ratio, coefficient."""
+        full = self.fit(y, [x, *controls])
+        if full["beta"] is None:
+            return dict.fromkeys(("tstat", "r2", "lr", "coef"), 0.0)
+        ml, null = self.fit(y, [x, *controls], reml=False), self.fit(y, controls, reml=False)
+        return {"tstat": abs(float(full["t"][1])), "r2": max(0.0, self.marginal_r2(y, [x, *controls]) - self.marginal_r2(y, controls)), "lr": 2 * (ml["loglik"] - null["loglik"]), "coef": float(full["beta"][1])}
+
+
+def entity_bootstrap(df: DataFrame, entity: str, y: str, x: str, controls: list[str], metric: str = "tstat", replicates: int = 200, level: float = 0.95, seed: int = 0) -> dict:
+    """Interval of a mixed-model score over resamples of entities. Each entity's sums are weighted by how often a replicate draws it, and the
+    replicates are a dimension of the aggregation: rows are read once."""
+    from .inference import poisson_weight
+
+    columns = [x, *controls, y]
+    rows = complete(df, columns)
+    values = [F.lit(1.0), *map(F.col, columns)]
+    k = len(values)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    per = rows.groupBy(entity).agg(F.count("*").alias("m"), *(F.sum(v).alias(f"t{i}") for i, v in enumerate(values)), *(F.sum(values[i] * values[j]).alias(f"g{i}_{j}") for i, j in pairs))
+    spread = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(F.xxhash64(entity) if dict(df.dtypes)[entity] == "string" else F.col(entity), F.col("replicate"), seed)).where("w > 0")
+    sized = spread.groupBy("replicate", "m").agg(F.sum("w").alias("entities"), *(F.sum(F.col("w") * F.col(f"t{i}") * F.col(f"t{j}")).alias(f"u{i}_{j}") for i, j in pairs), *(F.sum(F.col("w") * F.col(f"g{i}_{j}")).alias(f"g{i}_{j}") for i, j in pairs)).collect()
+    full = lambda r, c: np.array([[r[f"{c}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+    by: dict[int, list] = {}
+    for r in sorted(sized, key=lambda r: (r.replicate, r.m)):
+        by.setdefault(r.replicate, []).append(r)
+    draws = []
+    for part in by.values():
+        sums = (np.array([r.m for r in part]), np.array([full(r, "u") for r in part]), sum(full(r, "g") for r in part), sum(r.entities for r in part), np.array([r.entities for r in part]))
+        draws.append(MixedSums(df, entity, columns, sums).metrics(y, x, controls)[metric])
+    observed = MixedSums(df, entity, columns).metrics(y, x, controls)[metric]
+    low, high = np.quantile(draws, [(1 - level) / 2, (1 + level) / 2]) if draws else (float("nan"),) * 2
+    return {"observed": observed, "low": float(low), "high": float(high), "replicates": len(draws)}
+
+
+def post_metrics(df: DataFrame, entity: str, y: str, exposures: list[str], controls: list[str]) -> dict[str, dict]:
+    """All scores of each exposure on the given (held-out) rows."""
+    return {x: MixedSums(df, entity, [x, *controls, y]).metrics(y, x, controls) for x in exposures}
+
+
+def make_fitter(df: DataFrame, y: str, kind: str = "ols", entity: str | None = None):
+    """A function of a list of columns that fits y on them: 'ols' (by `entity`, clustered), 'logit' or 'gee'. All give names, beta, se and cov."""
+    from .gram import ols
+
+    fits = {"ols": lambda x: ols(df, y, x, entity), "logit": lambda x: logit(df, y, x), "gee": lambda x: gee_logit(df, entity, y, x)}
+    if kind not in fits or (kind == "gee" and entity is None):
+        raise ValueError("kind is 'ols', 'logit' or 'gee'; 'gee' needs an entity")
+    return fits[kind]

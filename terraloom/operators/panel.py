@@ -107,11 +107,13 @@ def period_controls(df: DataFrame, wave: str, area: str | None = None, years: st
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows where each column is there and finite."""
-    test = F.lit(True)
-    for c in columns:
+    tests = []
+    for c in dict.fromkeys(columns):
         v = F.col(c).cast("double")
-        test = test & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    return df.where(test)
+        tests.append(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    while len(tests) > 1:  # in pairs, so that hundreds of columns aren't a chain as deep
+        tests = [tests[i] & tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return df.where(tests[0]) if tests else df
 
 
 def as_binary(df: DataFrame, column: str) -> DataFrame:
@@ -120,3 +122,27 @@ def as_binary(df: DataFrame, column: str) -> DataFrame:
     if r.n != 2:
         raise ValueError(f"{column} has {r.n} values, not two")
     return df.withColumn(column, (F.col(column) == r.m).cast("double"))
+
+
+def usable_weights(df: DataFrame, weight: str) -> DataFrame:
+    """Rows whose weight is finite and positive."""
+    return complete(df, [weight]).where(F.col(weight) > 0)
+
+
+def centred(df: DataFrame, value: str, group: str, name: str | None = None) -> DataFrame:
+    """Values less their group's mean."""
+    return df.withColumn(name or value, F.col(value) - F.avg(value).over(Window.partitionBy(group)))
+
+
+def projected(df: DataFrame, entity: str, outcome: str, columns: list[str]) -> DataFrame:
+    """entity_id, outcome and the named columns, each once, in order."""
+    named = {entity: "entity_id", outcome: "outcome"}
+    missing = [c for c in (entity, outcome, *columns) if c not in df.columns]
+    if missing:
+        raise ValueError(f"there is no column {', '.join(missing)}")
+    return df.select(*(F.col(c).alias(named.get(c, c)) for c in dict.fromkeys([entity, outcome, *columns])))
+
+
+def rows_of(df: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """Rows of the given (held-out) entities."""
+    return df.join(entities.select(key).distinct(), key, "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,3 +92,67 @@ def plasmode(df: DataFrame, columns: list[str], truths: list[tuple[list[float],
         low, high = clopper_pearson(hits, repeats)
         out.append({"effect": effect, "recovered": hits / repeats, "low": low, "high": high, "weight_error": float(np.mean(bias))})
     return out
+
+
+def grid_posterior(df: DataFrame, y: str, channels: dict[str, list[str]], controls: list[str], prior_sd: float = 1.0, most: int = 4096) -> list[dict]:
+    """Joint posterior over the grid of one column for each channel: the weights are the best ones on the simplex, the effect has a normal prior, the
+    noise is taken out (a marginal likelihood in closed form), and each combination counts by it. All from one Gram; `most` combinations at most."""
+    from itertools import product
+
+    from .search import simplex_fit
+
+    combos = list(product(*channels.values()))
+    if len(combos) > most:
+        raise ValueError(f"a grid posterior takes {most} combinations at most")
+    columns = [*dict.fromkeys(c for cs in channels.values() for c in cs)]
+    g = gram(df, [*controls, *columns, y])
+    a, c, yy = residual_gram(g, y, columns, controls)
+    scale, n, out = np.sqrt(np.maximum(np.diag(a), 1e-300)), g.n, []
+    for combo in combos:
+        at = [columns.index(k) for k in combo]
+        sub, own = a[np.ix_(at, at)] / np.outer(scale[at], scale[at]), c[at] / scale[at]
+        w, _ = simplex_fit(sub, own)
+        xx, xy = float(w @ sub @ w), float(w @ own) / math.sqrt(yy) if yy > 0 else 0.0
+        # z-scored sides: n beta xy is the likelihood's linear part, n xx its precision
+        precision = n * xx + 1 / prior_sd**2
+        rss = max(n - (n * xy) ** 2 / precision, 1e-12)
+        like = -0.5 * math.log(precision * prior_sd**2) - 0.5 * (n - 1) * math.log(rss / n)
+        out.append({"columns": combo, "weights": w, "beta": n * xy / precision, "sd": math.sqrt(rss / n / precision), "log": like})
+    top = max(o["log"] for o in out)
+    total = sum(math.exp(o["log"] - top) for o in out)
+    for o in out:
+        o["probability"] = math.exp(o.pop("log") - top) / total
+    return sorted(out, key=lambda o: (-o["probability"], o["columns"]))
+
+
+def synergy_design(cells: DataFrame, key: str, channels: list[str], covariates: DataFrame | None = None, weight: str = "weight") -> DataFrame:
+    """(key, each term of the channels, covariates): interactions are geometric means by cell first, then weighted means of the entity's cells, so
+    they can't be made of the entity's means."""
+    from terraloom.functions.composites import key as term_key
+    from terraloom.functions.composites import term_value, terms
+
+    values = {c: F.col(c) for c in channels}
+    made = {term_key(t): term_value(t, values) for t in terms(tuple(channels))}
+    mean = lambda v: F.sum(v * F.col(weight)) / F.nullif(F.sum(F.when(v.isNotNull(), F.col(weight))), F.lit(0.0))
+    out = cells.groupBy(key).agg(*(mean(v).alias(n) for n, v in made.items()))
+    return out if covariates is None else out.join(covariates, key)
+
+
+def recovery_summary(records: DataFrame) -> DataFrame:
+    """(scenario, effect, metric, value, low, high, n) of replicate records (scenario, effect, beta_true, beta_mean, beta_low, beta_high, excluded):
+    power or, without a true effect, false positives with the exact interval; bias and coverage of the effect."""
+    by = records.groupBy("scenario", "effect").agg(F.count("*").alias("n"), F.count_if("excluded").alias("hits"), F.max(F.abs("beta_true")).alias("true"), F.avg(F.col("beta_mean") - F.col("beta_true")).alias("bias"), F.avg(((F.col("beta_low") <= F.col("beta_true")) & (F.col("beta_true") <= F.col("beta_high"))).cast("double")).alias("coverage"))
+
+    @F.pandas_udf("low double, high double")
+    def exact(hits: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([clopper_pearson(int(h), int(m)) for h, m in zip(hits, n)], columns=["low", "high"])
+
+    none = F.lit(None).cast("double")
+    made = by.withColumn("i", exact("hits", "n"))
+    metrics = F.array(
+        F.struct(F.when(F.col("true") == 0, "false_positive_rate").otherwise("power").alias("metric"), (F.col("hits") / F.col("n")).alias("value"), F.col("i.low").alias("low"), F.col("i.high").alias("high")),
+        F.struct(F.lit("beta_bias").alias("metric"), F.col("bias").alias("value"), none.alias("low"), none.alias("high")),
+        F.struct(F.lit("beta_coverage").alias("metric"), F.col("coverage").alias("value"), none.alias("low"), none.alias("high")),
+    )
+    rows = made.select("scenario", "effect", "n", "true", F.explode(metrics).alias("m")).where((F.col("true") != 0) | (F.col("m.metric") == "false_positive_rate"))
+    return rows.select("scenario", "effect", "m.metric", "m.value", "m.low", "m.high", "n")

@@ -65,3 +65,19 @@ def group_record(df: DataFrame, group: str) -> DataFrame:
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     n = F.when(F.col(group).isNotNull(), F.col("n"))
     return sizes.agg(F.count(n).alias("groups"), F.min(n).alias("smallest"), F.max(n).alias("largest"), (F.max(n) / F.sum(n)).alias("largest_share"), F.coalesce(F.sum(F.when(F.col(group).isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+
+
+def summarise_splits(df: DataFrame, keys: list[str], value: str, test_share: float, family: list[str], held: str | None = None) -> DataFrame:
+    """Median, spread, corrected t with its p, and the p adjusted in each family, of every quantity over repeated splits."""
+    from .inference import holm_adjust, split_summary, with_t_p
+
+    out = with_t_p(split_summary(df, keys, value, test_share, held), "corrected_t", "n_splits")
+    return holm_adjust(out, "corrected_p", family, keys[0])
+
+
+def scale_summary(df: DataFrame, by: list[str], split: str, scale: str, criterion: str) -> DataFrame:
+    """(by, splits, scale chosen most often, the median of the chosen ones): in each split the scale with the least criterion is chosen."""
+    chosen = df.groupBy(*by, split).agg(F.min(F.struct(criterion, scale)).alias("b")).select(*by, F.col(f"b.{scale}").cast("double").alias("scale"))
+    wins = chosen.groupBy(*by, "scale").agg(F.count("*").alias("wins"))
+    most = wins.groupBy(*by).agg(F.max(F.struct("wins", (-F.col("scale")).alias("s"))).alias("m")).select(*by, (-F.col("m.s")).alias("mode"), F.col("m.wins").alias("wins"))
+    return chosen.groupBy(*by).agg(F.count("*").alias("splits"), F.percentile("scale", F.lit(0.5)).alias("median")).join(most, by)

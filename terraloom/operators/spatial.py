@@ -248,3 +248,128 @@ def surrogates(df: DataFrame, group: str, key: str, value: str, count: int, seed
     t = dict(df.dtypes)
     return df.select(group, key, "x", "y", F.col(value).cast("double").alias(value)).groupBy(group).applyInPandas(make, f"`{group}` {t[group]}, `{key}` {t[key]}, draw long, value double")
 
+
+
+class Smoother:
+    """Penalised thin-plate smooth of one group's places: its basis, and fits for any penalty from one eigen decomposition."""
+
+    def __init__(self, z: np.ndarray, knots: int = 40):
+        b = thin_plate_basis(z, covering_knots(z, k=min(knots, max(len(z) // 2, 4))))
+        self.basis = b / np.maximum(np.sqrt((b**2).mean(axis=0)), 1e-12)
+        self.penalty = np.r_[0.0, 0.0, 0.0, np.ones(self.basis.shape[1] - 3)]
+
+    def half_residual(self, lam: float, v: np.ndarray) -> np.ndarray:
+        """(I - S) v for a vector or columns."""
+        b = self.basis
+        return v - b @ np.linalg.solve(b.T @ b + lam * np.diag(self.penalty) + 1e-10 * np.eye(b.shape[1]), b.T @ v)
+
+    def trace(self, lam: float) -> float:
+        m = self.basis.T @ self.basis
+        return float(np.trace(np.linalg.solve(m + lam * np.diag(self.penalty) + 1e-10 * np.eye(len(m)), m)))
+
+    def criterion(self, y: np.ndarray, lam: float, kind: str = "gcv") -> float:
+        """Generalised cross-validation, or minus twice the restricted likelihood with the variance profiled out."""
+        r, n = self.half_residual(lam, y), len(y)
+        if kind == "gcv":
+            return n * float(r @ r) / max(n - self.trace(lam), 1e-9) ** 2
+        b, p = self.basis, int((self.penalty == 0).sum())
+        m = b.T @ b + lam * np.diag(self.penalty) + 1e-10 * np.eye(b.shape[1])
+        sigma = max(float(y @ r), 1e-300) / max(n - p, 1)
+        return (n - p) * np.log(sigma) + np.linalg.slogdet(m)[1] - (b.shape[1] - p) * np.log(lam)
+
+    def select(self, y: np.ndarray, kind: str = "gcv", rounds: int = 40) -> float:
+        """Penalty with the least criterion: a scan, then golden sections in its logarithm."""
+        grid = np.logspace(-6, 6, 25)
+        best = min(grid, key=lambda v: self.criterion(y, v, kind))
+        low, high = np.log(best) - 1.2, np.log(best) + 1.2
+        for _ in range(rounds):
+            a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
+            low, high = (low, b) if self.criterion(y, np.exp(a), kind) < self.criterion(y, np.exp(b), kind) else (a, high)
+        return float(np.exp((low + high) / 2))
+
+    def exposure_residual(self, x: np.ndarray, kind: str = "gcv", lam: float | None = None) -> tuple[np.ndarray, float]:
+        lam = self.select(x, kind) if lam is None else lam
+        return self.half_residual(lam, x), lam
+
+    def outcome_slope(self, y: np.ndarray, r: np.ndarray, kind: str = "gcv", lam: float | None = None, weights: np.ndarray | None = None) -> tuple[float, float, float]:
+        """Slope, its error and the penalty; with weights (multiplicities of a resample) the smooth is that of the weighted rows."""
+        lam = self.select(y, kind) if lam is None else lam
+        w = np.ones(len(y)) if weights is None else weights
+        b = self.basis
+        m = (b * w[:, None]).T @ b + lam * np.diag(self.penalty) + 1e-10 * np.eye(b.shape[1])
+        smooth = lambda v: v - b @ np.linalg.solve(m, (b * w[:, None]).T @ v)
+        rs = smooth(r)
+        den = float((w * r) @ rs)
+        if den <= 0:
+            return float("nan"), float("nan"), lam
+        slope = float((w * rs) @ y) / den
+        e = smooth(y - slope * r)
+        sigma = float((w * e) @ e) / max(w.sum() - self.trace(lam) - 1, 1)
+        return slope, float(np.sqrt(sigma * float((w * rs) @ rs)) / den), lam
+
+
+def group_labels(points: DataFrame, key: str, values: str | None = None, reach: float | None = None, least: int = 1) -> DataFrame:
+    """(key, group): dense numbers of a column's values, or components of points within reach, small ones merged."""
+    if values is not None:
+        from .splits import numbered
+
+        dense = numbered(points.select(values).where(F.col(values).isNotNull()).distinct(), [F.col(values)], "_g").select(values, (F.col("_g") - 1).alias("group"))
+        return points.join(dense, values, "left").select(key, "group")
+    labels = radius_components(points, key, float(reach))
+    return merge_small(points, labels, key, least).select(key, F.col("component").alias("group")) if least > 1 else labels.withColumnRenamed("component", "group")
+
+
+def plus_report(df: DataFrame, group: str, key: str, exposures: list[str], outcomes: list[str], replicates: int = 200, kind: str = "gcv", knots: int = 40, seed: int = 0) -> DataFrame:
+    """(exposure, outcome, n, slope, se, low, high) over all groups: each exposure's residual on its group's smooth, then each outcome on that residual
+    and a smooth of its own. Groups are tasks, COMPONENT_ROWS rows at most; they give numerators and denominators, which add up, for all rows and
+    for each resample under the penalties that all rows chose."""
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        columns = ["exposure", "outcome", "replicate", "n", "num", "den", "meat"]
+        if len(frame) > COMPONENT_ROWS:
+            raise ValueError(f"a group has over {COMPONENT_ROWS} rows")
+        if len(frame) < 12:
+            return pd.DataFrame([], columns=columns)
+        frame = frame.sort_values(key)
+        made = Smoother(frame[["x", "y"]].to_numpy(float), knots)
+        rng = np.random.default_rng([seed, zlib.crc32(str(frame[group].iloc[0]).encode())])
+        draws = [np.ones(len(frame)), *(rng.multinomial(len(frame), np.full(len(frame), 1 / len(frame))).astype(float) for _ in range(replicates))]
+        out, b = [], made.basis
+        lams = {o: made.select(frame[o].to_numpy(float), kind) for o in outcomes}
+        for x in exposures:
+            r, _ = made.exposure_residual(frame[x].to_numpy(float), kind)
+            for o in outcomes:
+                y = frame[o].to_numpy(float)
+                for k, w in enumerate(draws):
+                    m = (b * w[:, None]).T @ b + lams[o] * np.diag(made.penalty) + 1e-8 * np.eye(b.shape[1])
+                    rs = r - b @ np.linalg.solve(m, (b * w[:, None]).T @ r)
+                    num, den = float((w * rs) @ y), float((w * rs) @ r)
+                    e = y - b @ np.linalg.solve(m, (b * w[:, None]).T @ y) - (num / den if den else 0.0) * rs
+                    out.append((x, o, k, len(frame), num, den, float((w * rs * rs) @ (e * e))))
+        return pd.DataFrame(out, columns=columns)
+
+    slim = df.select(group, key, "x", "y", *exposures, *outcomes).na.drop()
+    parts = slim.groupBy(group).applyInPandas(fit, "exposure string, outcome string, replicate long, n long, num double, den double, meat double")
+    sums = parts.groupBy("exposure", "outcome", "replicate").agg(F.sum("n").alias("n"), (F.sum("num") / F.sum("den")).alias("slope"), (F.sqrt(F.sum("meat")) / F.sum("den")).alias("se"))
+    whole = sums.where("replicate = 0").drop("replicate")
+    drawn = sums.where("replicate > 0").groupBy("exposure", "outcome").agg(F.percentile("slope", F.lit(0.025)).alias("low"), F.percentile("slope", F.lit(0.975)).alias("high"))
+    return whole.join(drawn, ["exposure", "outcome"], "left")
+
+
+def search_transform(df: DataFrame, group: str, key: str, columns: list[str], kind: str = "gcv", knots: int = 40) -> DataFrame:
+    """df with the columns as residuals on their group's smooth, as inputs of a search; groups under twelve rows are centred."""
+    kinds = dict(df.dtypes)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > COMPONENT_ROWS:
+            raise ValueError(f"a group has over {COMPONENT_ROWS} rows")
+        v = frame[columns].to_numpy(float)
+        if len(frame) >= 12:
+            made = Smoother(frame[["x", "y"]].to_numpy(float), knots)
+            v = np.column_stack([made.exposure_residual(v[:, i], kind)[0] for i in range(v.shape[1])])
+        else:
+            v = v - v.mean(axis=0)
+        return pd.concat([frame[[key]].reset_index(drop=True), pd.DataFrame(v, columns=columns)], axis=1)
+
+    slim = df.select(group, key, "x", "y", *(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
+    made = slim.groupBy(group).applyInPandas(fit, f"`{key}` {kinds[key]}, " + ", ".join(f"`{c}` double" for c in columns))
+    return df.drop(*columns).join(made, key)
