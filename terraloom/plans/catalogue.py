@@ -568,9 +568,7 @@ COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query(" union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a},{b}),6) as r from lineitem" for i, a in enumerate(COLS) for b in COLS[i + 1 :]))
 def pearson_matrix(s, d):
-    x = lines(s, d)
-    one = x.agg(*(F.corr(a, b).alias(f"{a}|{b}") for i, a in enumerate(COLS) for b in COLS[i + 1 :]))
-    return rounded(one.select(F.explode(F.array(*(F.struct(F.lit(c.split("|")[0]).alias("a"), F.lit(c.split("|")[1]).alias("b"), F.col(f"`{c}`").alias("r")) for c in one.columns))).alias("p")).select("p.*"))
+    return rows(s, gram.correlations(gram.gram(lines(s, d), COLS)), "a string, b string, r double")
 
 
 @query(L3 + "select 'l_extendedprice' as column, round(1/(1-(yx*yx+yz*yz-2*yx*yz*xz)/(1-xz*xz)),6) as vif from p union all select 'l_quantity', round(1/(1-(yx*yx+xz*xz-2*yx*yz*xz)/(1-yz*yz)),6) from p union all select 'l_discount', round(1/(1-(yz*yz+xz*xz-2*yx*yz*xz)/(1-yx*yx)),6) from p".replace("as column", 'as "column"'))
@@ -608,8 +606,9 @@ def nrmse_score(s, d):
 @query("select round(regr_slope(l_extendedprice,l_quantity)*(quantile_cont(l_quantity,0.75)-quantile_cont(l_quantity,0.25)),2) as effect from lineitem")
 def iqr_effect(s, d):
     x = lines(s, d)
-    g = x.agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"), (F.percentile("l_quantity", F.lit(0.75)) - F.percentile("l_quantity", F.lit(0.25))).alias("iqr"))
-    return g.select(r(F.col("b") * F.col("iqr"), 2).alias("effect"))
+    low, high = splits.quantiles(x, "l_quantity", [0.25, 0.75])
+    f = gram.raw_slope(gram.gram(x, ["l_quantity", "l_extendedprice"]), "l_extendedprice", "l_quantity", [], high - low)
+    return s.createDataFrame([(float(f["slope"]),)], "effect double").select(r("effect", 2).alias("effect"))
 
 
 @query("select l_returnflag, count(v) as n, round(quantile_cont(v,0.5),4) as median, round(quantile_cont(v,0.25),4) as q25, round(quantile_cont(v,0.75),4) as q75, round(quantile_cont(v,0.75)-quantile_cont(v,0.25),4) as iqr, round(quantile_cont(v,0.05),4) as p5, round(quantile_cont(v,0.95),4) as p95 from (select l_returnflag, l_extendedprice as v from lineitem) group by 1")
@@ -666,10 +665,11 @@ POIS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011843
 
 @query(f"with c as (select o_custkey, sum(o_totalprice) as t, count(*) as n from orders group by 1), w as (select rep, t, n, (" + " + ".join(f"cast(u >= {p}::double as bigint)" for p in POIS) + f") as k from (select rep, t, n, {BOOT} as u from c, (select unnest(generate_series(0,99)) as rep))), m as (select rep, sum(k*t)/sum(k*n) as mean from w group by 1) select round(quantile_cont(mean,0.025),2) as low, round(quantile_cont(mean,0.975),2) as high, count(*) as replicates from m")
 def bootstrap_ci(s, d):
-    c = table(s, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t"), F.count("*").alias("n"))
-    w = c.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("k", inference.poisson_weight(F.col("o_custkey"), F.col("rep")))
-    m = w.groupBy("rep").agg((F.sum(F.col("k") * F.col("t")) / F.sum(F.col("k") * F.col("n"))).alias("mean"))
-    return m.agg(r(F.percentile("mean", F.lit(0.025)), 2).alias("low"), r(F.percentile("mean", F.lit(0.975)), 2).alias("high"), F.count("*").alias("replicates"))
+    """Interval of a mean over resampled customers: the mean is a statistic of the Gram."""
+    mean = lambda g, y, *_: float(g.part(["1"], [y])[0, 0] / g.part(["1"], ["1"])[0, 0])
+    f = inference.bootstrap_ci(table(s, d, "orders"), "o_totalprice", "o_totalprice", [], "o_custkey", 100, statistic=mean)
+    out = s.createDataFrame([(f["low"], f["high"], f["replicates"])], "low double, high double, replicates long")
+    return out.select(r("low", 2).alias("low"), r("high", 2).alias("high"), "replicates")
 
 
 @query(f"with m as (select split, v from ({SPLITS}) where family = 0), o as (select v as obs from m where split = 0) select round((count(*) filter (v >= obs)+1)/(count(v)+1)::double, 6) as p from m, o")
@@ -885,3 +885,6 @@ def event_windows(s, d):
     from terraloom.streaming.events import windowed
 
     return rounded(windowed(table(s, d, "events")), 4)
+
+
+from . import studies  # noqa: E402, F401  registers its queries; it uses the tables above
