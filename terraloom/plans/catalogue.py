@@ -887,4 +887,5 @@ def event_windows(s, d):
     return rounded(windowed(table(s, d, "events")), 4)
 
 
-from . import studies  # noqa: E402, F401  registers its queries; it uses the tables above
+from . import studies  # noqa: E402, F401, I001  these register queries; they use the tables above
+from . import parts as _parts  # noqa: E402, F401
