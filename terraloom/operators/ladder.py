@@ -29,21 +29,33 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
+def _ladder(pairs: DataFrame, key: str, channels: list[Column], radii: list[float]) -> DataFrame:
+    """(key, radius, channel number, n, _m, _p) of pairs with a distance `d`: one aggregation, whose columns are the channels in each radius, so a pair
+    is one row of the shuffle however many radii hold it. Radii that no pair of a key lies in are left out."""
+    made, cells = [], []
+    for i, radius in enumerate(sorted(radii)):
+        inside = F.col("d") <= float(radius)
+        made.append(F.count(F.when(inside, 1)).alias(f"_k{i}"))
+        for j in range(len(channels)):
+            v = F.when(inside, F.col(f"_v{j}"))
+            made += [F.count(v).alias(f"_n{i}_{j}"), F.avg(v).alias(f"_m{i}_{j}"), F.percentile(v, F.array(*map(F.lit, SHARES))).alias(f"_p{i}_{j}")]
+            cells.append(F.struct(F.lit(float(radius)).alias("radius"), F.lit(j).alias("_j"), F.col(f"_k{i}").alias("_k"), F.col(f"_n{i}_{j}").alias("n"), F.col(f"_m{i}_{j}").alias("_m"), F.col(f"_p{i}_{j}").alias("_p")))
+    wide = pairs.select(key, "d", *(c.alias(f"_v{j}") for j, c in enumerate(channels))).groupBy(key).agg(*made)
+    return wide.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*").where("_k > 0")
+
+
 def disc_stats(targets: DataFrame, metric: DataFrame, key: str, value: str, radii: list[float], places: int | None = 4) -> DataFrame:
-    """(key, radius, n, mean, p10 ... p90) of the metric within each radius. One join at the greatest radius; each pair goes to the rings that
-    hold it, and one aggregation serves the whole ladder."""
-    pairs = radius_join(targets, metric, max(radii)).select(key, "d", finite(F.col(value).cast("double")).alias("v"))
-    rings = F.filter(F.array(*(F.lit(float(r)) for r in sorted(radii))), lambda r: r >= F.col("d"))
-    return summarise(pairs.select(key, "v", F.explode(rings).alias("radius")), [key, "radius"], F.col("v"), places)
+    """(key, radius, n, mean, p10 ... p90) of the metric within each radius: one join at the greatest radius, one aggregation for the whole ladder."""
+    cut = (lambda c: F.bround(c, places)) if places is not None else (lambda c: c)
+    out = _ladder(radius_join(targets, metric, max(radii)), key, [finite(F.col(value).cast("double"))], radii)
+    return out.select(key, "radius", "n", cut(F.col("_m")).alias("mean"), *(cut(F.get("_p", F.lit(i))).alias(n) for i, n in enumerate(STATS[1:])))
 
 
 def disc_stats_columns(targets: DataFrame, metric: DataFrame, key: str, values: list[str], radii: list[float]) -> DataFrame:
     """The same for several value columns off one join: (key, radius, channel, ...)."""
-    pairs = radius_join(targets, metric, max(radii))
-    rings = F.filter(F.array(*(F.lit(float(r)) for r in sorted(radii))), lambda r: r >= F.col("d"))
-    named = F.array(*(F.struct(F.lit(v).alias("channel"), finite(F.col(v).cast("double")).alias("v")) for v in values))
-    long = pairs.select(key, F.explode(rings).alias("radius"), named.alias("c")).select(key, "radius", F.explode("c").alias("c")).select(key, "radius", "c.channel", "c.v")
-    return summarise(long, [key, "radius", "channel"], F.col("v"))
+    out = _ladder(radius_join(targets, metric, max(radii)), key, [finite(F.col(v).cast("double")) for v in values], radii)
+    named = F.get(F.array(*map(F.lit, values)), F.col("_j")).alias("channel")
+    return out.select(key, "radius", named, "n", F.bround("_m", 4).alias("mean"), *(F.bround(F.get("_p", F.lit(i)), 4).alias(n) for i, n in enumerate(STATS[1:])))
 
 
 def ring_stats(rows: DataFrame, key: str, ring: str, value: str, rings: int) -> DataFrame:

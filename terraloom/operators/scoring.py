@@ -12,6 +12,8 @@ from .splits import exposure_groups, qcut, running
 
 #: Rows up to which a score over all pairs of rows is worked out (its matrices are this squared).
 PAIR_ROWS = 5000
+#: Rows up to which one that needs no pairs, but all values in order, is worked out on the driver, eight bytes a value.
+ALL_ROWS = 20_000_000
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -173,8 +175,11 @@ def fast_partial_distance_correlation(x: np.ndarray, y: np.ndarray, z: np.ndarra
 
 
 def all_rows(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """All complete rows, eight bytes a value, for scores that need no pairs."""
-    table = complete(df, columns).select(*(F.col(c).cast("double").alias(str(i)) for i, c in enumerate(columns))).toArrow()
+    """All complete rows, eight bytes a value, for scores that need no pairs; refuses more than ALL_ROWS."""
+    rows = complete(df, columns)
+    if rows.limit(ALL_ROWS + 1).count() > ALL_ROWS:
+        raise ValueError(f"a score over all values in order takes {ALL_ROWS} rows at most; sample first")
+    table = rows.select(*(F.col(c).cast("double").alias(str(i)) for i, c in enumerate(columns))).toArrow()
     return np.stack([c.to_numpy() for c in table.columns], axis=1) if len(table) else np.empty((0, len(columns)))
 
 
