@@ -25,6 +25,49 @@ def test_empty_tables(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).collect() == []
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_against_their_sql(spark, name):
+    """Registered queries with SQL, on the smallest given tables."""
+    import duckdb
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    cursor = con.execute(queries.SQL[name])
+    names = [c[0] for c in cursor.description]
+    df = queries.QUERIES[name](spark, folder)
+    assert sorted(df.columns) == sorted(names)
+    assert Counter(map(tuple, df.select(*names).collect())) == Counter(cursor.fetchall())
+
+
+def test_registered_queries_on_rows(spark, folder):
+    """The queries of tokenizers and of equal texts, as registered, on rows with nulls, repeats and long texts."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = [(i, t or "") for i, t, *_ in ROWS]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = [len(e.ids) for e in library.encode_batch([t for _, t in texts], add_special_tokens=False)]
+    out = queries.QUERIES["op3_token_counts"](spark, folder).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in out) == Counter((i, len(t.encode()), n, n > 512) for (i, t), n in zip(texts, sizes))
+    pieces_of = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = pieces_of.encode([t for _, t in texts], add_bos=True, add_eos=True)
+    out = queries.QUERIES["op9_sentencepiece"](spark, folder).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out) == Counter((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), sha(pieces_of.decode(x))) for (i, _), x in zip(texts, ids))
+    groups = defaultdict(list)
+    for i, t in texts:
+        groups[t].append(i)
+    top = lambda t: max((i for i in groups[t] if i is not None), default=None)
+    out = queries.QUERIES["op2_exact_dedup"](spark, folder).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out) == Counter((i, top(t), len(groups[t]), sha(t)) for i, t in texts)
+    assert sum(r.kept for r in out) == len(groups)
+    out = queries.QUERIES["op5_fingerprints"](spark, folder).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in out) == Counter((i, len(t)) for i, t in texts)
+    out = queries.QUERIES["op4_repeats"](spark, folder).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in out) == Counter((i, len(t.encode())) for i, t in texts)
+
+
 # 1
 
 
