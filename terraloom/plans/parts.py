@@ -383,3 +383,68 @@ def group_blocks(s, d):
 def correlation_t(s, d):
     g = gram.gram(lines(s, d), ["l_quantity", "l_extendedprice"])
     return rounded(rows(s, [(float(search.t_of_r(gram.correlations(g)[0][2], g.n)),)], "t double"), 3)
+
+
+# the same in SQL of queries that are registered elsewhere
+
+SQL["component_report"] = SQL["merged_components"]
+SQL["shard_crc32"] = (
+    f"with c as (select c_custkey, '0:' || cast(floor(floor(y/50)/64) as bigint) || ':' || cast(floor(floor(x/50)/64) as bigint) as name from ({CUST})) "
+    "select c_custkey, cast(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(name)+1), lambda i: ascii(substr(name, i, 1))::bigint)), lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384::bigint * (v & 1)))), 4294967295::bigint) % 3 as integer) as shard from c"
+)
+SQL["area_balanced_split"] = (
+    "with recursive q as (select quantile_cont(p_retailprice, [0.2,0.4,0.6,0.8]) as c from part), b as (select p_partkey, p_size::double as area, len(list_filter(list_distinct(c), lambda e: p_retailprice > e)) as bin from part, q), "
+    "o as (select *, row_number() over (partition by bin order by area desc, p_partkey) as k, sum(area) over (partition by bin) as total from b), "
+    "r as (select bin, k, p_partkey, area as h1, 0.0::double as h2, 0.0::double as h3, 1 as pick from o where k = 1 union all select bin, k, p_partkey, h1 + case when pick = 1 then area else 0 end, h2 + case when pick = 2 then area else 0 end, h3 + case when pick = 3 then area else 0 end, pick from "
+    "(select o.bin, o.k, o.p_partkey, o.area, r.h1, r.h2, r.h3, case when 0.6*total-h1 >= 0.2*total-h2 and 0.6*total-h1 >= 0.2*total-h3 then 1 when 0.2*total-h2 >= 0.2*total-h3 then 2 else 3 end as pick from r join o on o.bin = r.bin and o.k = r.k + 1)) "
+    "select p_partkey, ['train','val','test'][pick] as split from r"
+)
+
+
+def _tail(first: str, last: str, p: str) -> str:
+    """Probability of `first` to `last` hits of n."""
+    return f"list_sum(list_transform(range({first}, {last} + 1), lambda i: exp(lgamma(n+1)-lgamma(i+1)-lgamma(n-i+1)+i*ln({p})+(n-i)*ln(1-{p}))))"
+
+
+SQL["null_summary"] = (
+    "with recursive k as (select s % 3 as kind, count(*) as n, count(*) filter ((s*7919 % 1000) < 50) as hits from (select distinct l_suppkey as s from lineitem) group by 1), "
+    f"b as (select kind, n, hits, 0 as step, 0.0::double as l0, 1.0::double as l1, 0.0::double as h0, 1.0::double as h1 from k union all select kind, n, hits, step+1, case when tl < 0.025 then (l0+l1)/2 else l0 end, case when tl < 0.025 then l1 else (l0+l1)/2 end, case when th > 0.025 then (h0+h1)/2 else h0 end, case when th > 0.025 then h1 else (h0+h1)/2 end from (select *, {_tail('hits', 'n', '((l0+l1)/2)')} as tl, {_tail('0', 'hits', '((h0+h1)/2)')} as th from b where step < 50)) "
+    "select kind, n, hits, round(hits/n::double,6) as rate, case when hits = 0 then 0 else round(l0,6) end as low, case when hits = n then 1 else round(h0,6) end as high from b where step = 50"
+)
+
+
+def _gee(source: str, first: int, rounds: int) -> str:
+    """Marginal logistic model of y on one column a by entity: rounds of ordinary weights first, then rounds with the exchangeable correlation."""
+    out = f"z as (select o_custkey as e, cast(value > 150 as integer)::double as y, (t - avg(t) over ())/stddev_pop(t) over () as a from {source}), u as (select avg(t) as mean, stddev_pop(t) as sd from {source}), b0 as (select 0.0::double as p, 0.0::double as q)"
+    mu = "least(greatest(1/(1+exp(-(p+q*a))), 1e-8), 1-1e-8)"
+    for i in range(first + rounds):
+        alpha = "0.0::double" if i < first else "least(greatest(crossed/greatest(pairs-2,1)/phi, -1/greatest(most-1,1)+1e-6), 0.99)"
+        out += (
+            f", m{i} as (select e, y, a, mu, sqrt(mu*(1-mu)) as w from (select e, y, a, {mu} as mu from z, b{i}))"
+            f", n{i} as (select e, count(*) as m, sum((y-mu)/w) as r, sum(pow((y-mu)/w,2)) as rr, sum(w) as d0, sum(w*a) as d1, sum(y-mu) as e0, sum(a*(y-mu)) as e1, sum(w*w) as a00, sum(w*w*a) as a01, sum(w*w*a*a) as a11 from m{i} group by 1)"
+            f", t{i} as (select {alpha} as alpha from (select sum(rr)/(sum(m)-2) as phi, sum((r*r-rr)/2) as crossed, sum(m*(m-1)/2) as pairs, max(m) as most from n{i}))"
+            f", s{i} as (select *, (e0-k*d0*r)/(1-alpha) as s0, (e1-k*d1*r)/(1-alpha) as s1 from (select n{i}.*, alpha, alpha/(1+(m-1)*alpha) as k from n{i}, t{i}))"
+            f", g{i} as (select sum(s0) as s0, sum(s1) as s1, sum((a00-k*d0*d0)/(1-alpha)) as b00, sum((a01-k*d0*d1)/(1-alpha)) as b01, sum((a11-k*d1*d1)/(1-alpha)) as b11, sum(s0*s0) as m00, sum(s0*s1) as m01, sum(s1*s1) as m11, max(alpha) as alpha from s{i})"
+            f", b{i + 1} as (select p + (b11*s0-b01*s1)/(b00*b11-b01*b01) as p, q + (b00*s1-b01*s0)/(b00*b11-b01*b01) as q from b{i}, g{i})"
+        )
+    return out
+
+
+_LAST = 17
+SQL["gee_fit"] = (
+    f"with x as ({PANEL}), {_gee('x', 8, _LAST - 7)}, i as (select b11/d as i00, -b01/d as i01, b00/d as i11, m00, m01, m11, alpha from (select *, b00*b11-b01*b01 as d from g{_LAST})), "
+    "c as (select i00*(i00*m00+i01*m01)+i01*(i00*m01+i01*m11) as c00, i01*(i00*m00+i01*m01)+i11*(i00*m01+i01*m11) as c01, i01*(i01*m00+i11*m01)+i11*(i01*m01+i11*m11) as c11, alpha from i) "
+    f"select '1' as term, round(p-q*mean/sd,6) as beta, round(sqrt(c00-2*mean/sd*c01+pow(mean/sd,2)*c11),6) as se, round(alpha,6) as alpha from b{_LAST + 1}, u, c union all select 't', round(q/sd,6), round(sqrt(c11)/sd,6), round(alpha,6) from b{_LAST + 1}, u, c"
+)
+
+# group means beside a control, with errors by cluster from each cluster's share in every coefficient
+SQL["quartile_terms"] = (
+    f"with s as ({STUDY}), q as (select quantile_cont(price, [0.25,0.5,0.75]) as c from s), g as (select c_nationkey as cl, y_out as y, c_acctbal as z, len(list_filter(list_distinct(c), lambda v: price >= v)) as k from s, q), "
+    "m as (select k, avg(y) as my, avg(z) as mz, count(*) as n from g group by 1), w as (select sum((z-mz)*(y-my))/sum((z-mz)*(z-mz)) as b, sum((z-mz)*(z-mz)) as szz from g join m using (k)), "
+    "e as (select cl, k, mz, n, z, y - (my - b*mz) - b*z as e from g join m using (k), w), "
+    "u as (select cl, sum((z-mz)*e)/max(szz) as uc, " + ", ".join(f"sum(case when k = {k} then e/n else 0 end) as u{k}" for k in range(4)) + " from e, w group by 1), "
+    "x as (select cl, uc, " + ", ".join(f"u{k} - uc*(select mz from m where k = {k}) as v{k}" for k in range(4)) + " from u), "
+    "f as (select count(*)/(count(*)-1)::double*((select count(*) from g)-1)/((select count(*) from g)-5) as f from u), "
+    "t as (" + " union all ".join([f"select '1' as term, (select my - b*mz from m, w where k = 0) as beta, (select sum(v0*v0) from x) as v", *(f"select 'q{k}', (select my - b*mz from m, w where k = {k}) - (select my - b*mz from m, w where k = 0), (select sum((v{k}-v0)*(v{k}-v0)) from x)" for k in (1, 2, 3)), "select 'c_acctbal', (select b from w), (select sum(uc*uc) from x)"]) + ") "
+    "select term, round(beta,6) as beta, round(sqrt(v*f),6) as se from t, f"
+)
