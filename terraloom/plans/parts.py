@@ -80,9 +80,9 @@ def file_fingerprints(s, d):
     return out.agg(F.count("*").cast("int").alias("files"), F.min(F.col("fingerprint").rlike(r"^\d+:\d+$")).alias("sized"))
 
 
-@query("select c_custkey, c_acctbal, o as composite from customer left join (select o_custkey, count(*) as o from orders where o_orderkey % 2 = 0 group by 1) on o_custkey = c_custkey")
+@query("select c_custkey, c_acctbal, o as composite from customer left join (select o_custkey, count(*) as o from orders where o_orderstatus = 'F' group by 1) on o_custkey = c_custkey")
 def entity_table(s, d):
-    o = table(s, d, "orders").where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("composite"))
+    o = table(s, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("composite"))
     return tables.entity_table(table(s, d, "customer").select("c_custkey", "c_acctbal"), o, "c_custkey")
 
 
