@@ -8,13 +8,16 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Bytes of text that a Python worker holds as strings at once.
 SLICE_BYTES = 2 << 20
@@ -91,6 +94,41 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, lis
         yield start, [t or "" for t in texts.slice(start).to_pylist()]
 
 
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of whole numbers of a column; a null one is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+#: What `settled` says of a row: bits of the caller's, or OPEN where the task had too many rows to tell.
+DONE, RIM, OPEN = 1, 2, 4
+
+
+def settled(rows: DataFrame, by: str, decide: Callable[[pa.Table], pa.Table], most: int) -> DataFrame:
+    """What `decide` makes of all rows of each value of `by`, several values at once, with a column `state`; one shuffle, without a sort or a join
+    of Spark's. `decide` keeps the columns. A task that gets more than `most` bytes (a frequent value, large partitions) holds no more than those:
+    it gives its rows back as OPEN, for groupings that spill."""
+    ship(rows.sparkSession)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, rest = [], 0, iter(batches)
+        for batch in rest:
+            held.append(batch)
+            size += batch.nbytes
+            if size > most:
+                for b in chain(held, rest):
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, OPEN, np.int32))], [*b.schema.names, "state"])
+                return
+        if held:
+            yield from decide(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+    return rows.repartition(by).mapInArrow(keep, StructType([*rows.schema.fields, StructField("state", IntegerType())]))
+
+
+def is_open(table: DataFrame) -> bool:
+    return not table.where(F.col("state") == OPEN).isEmpty()
+
+
 def col(name: str) -> Column:
     """A column by its whole name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from terraloom.llm import repeats
+from terraloom.llm import passages, repeats
 
 from .conftest import ROWS
 
@@ -114,3 +114,66 @@ def test_shared_passages(spark):
     assert sum(n > 0 for _, n in want) > 20
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shared", F.lit(1)).repartition(3)
     assert Counter((r.id, r.n_shared_words) for r in repeats.dedup_bytes(df).collect()) == want
+
+
+def boilerplate(rng, n):
+    """Texts of one long license line each, most of them under LENGTH bytes: their cores are repeated, few of their windows are."""
+    prose = lambda k: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(k))
+    lines = [prose(80)[:size] for size in (345, 370, 395, 420)]
+    return [prose(60) + " " + rng.choice(lines) + " " + prose(60) for _ in range(n)]
+
+
+def test_rows_of_steps(spark, monkeypatch):
+    """A step writes a row for each class or run of windows; a row for each window took most of the time of large tables."""
+    texts = boilerplate(random.Random(43), 120)
+    written = {}
+
+    def counted(df, name, keep=repeats.materialise):
+        out = keep(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "materialise", counted)
+    monkeypatch.setattr(passages, "materialise", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r.id: tuple(r[1:5]) for r in repeats.dedup_bytes(df).collect()}
+    assert [out[i] for i in range(len(texts))] == brute([t.encode() for t in texts], repeats.LENGTH)
+    assert sum(written.values()) < sum(map(len, texts)) / 10, written
+
+
+def test_remove_names_nothing_again(monkeypatch):
+    """Items are places, so what is found is removed without the names of the texts (periodic windows aside)."""
+    raw = [t.encode() for t in boilerplate(random.Random(44), 2)] * 2
+    core, span, owner, item = repeats.class_records(raw)
+    import numpy as np
+
+    monkeypatch.setattr(repeats, "Windows", None)
+    masks = repeats.remove(raw, [item[owner == i].astype(np.int64) for i in range(len(raw))])
+    assert all(m.all() for m in masks)
+
+
+@pytest.mark.parametrize("most", [1, 1 << 12])
+def test_frequent_values(spark, monkeypatch, most):
+    """Tasks that get more than they may hold leave their rows to Spark's groupings; so do some of them, at 4 kB."""
+    for module in (repeats, passages):
+        monkeypatch.setattr(module, "MOST_CLASSES", most)
+    monkeypatch.setattr(repeats, "MOST_NAMES", most)
+    texts = corpus() + boilerplate(random.Random(45), 20)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.id: tuple(r[1:]) for r in repeats.dedup_bytes(df).collect()}
+    want = brute([(t or "").encode() for t in texts], repeats.LENGTH)
+    shared = brute_shared([(i, (t or "").encode()) for i, t in rows])
+    assert [out[i] for i in range(len(texts))] == [(*w, s) for w, s in zip(want, shared)]
+    assert sum(s > 0 for s in shared) > 20
+
+
+def test_shared_passages_repeated_inside(spark):
+    """A passage that a text has twice, and another text in part: all its copies count."""
+    rng = random.Random(46)
+    prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    common, whole = prose(70), prose(55)
+    texts = [" ".join(prose(20) + common + prose(30) + common + prose(9) + common), " ".join(common[8:] + prose(40)), " ".join((whole + prose(3)) * 3), " ".join(prose(4) + whole)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.n_shared_words for r in repeats.dedup_bytes(df).collect()} == dict(enumerate(brute_shared([(i, t.encode()) for i, t in rows])))
