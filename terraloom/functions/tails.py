@@ -20,7 +20,7 @@ def beta_cdf(x: float, a: float, b: float) -> float:
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     tiny, c, d = 1e-300, 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
     out = d
-    for m in range(1, 500):
+    for m in range(1, 500 + int(10 * math.sqrt(max(a, b)))):  # its length grows with the root of the larger
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + top * d if abs(1 + top * d) > tiny else tiny)
             c = 1 + top / c if abs(1 + top / c) > tiny else tiny
@@ -77,6 +77,17 @@ def chi2_upper(x: float, df: float) -> float:
     return 1 - gamma_cdf(x / 2, df / 2) if df > 0 else float("nan")
 
 
+def binomial_tail(hits: int, n: int, p: float) -> float:
+    """Chance of at least so many hits in n draws, term by term in logarithms, as whole binomial coefficients soon exceed a float."""
+    if hits <= 0 or p >= 1:
+        return 1.0
+    if p <= 0:
+        return 0.0
+    term = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    return math.fsum(term(i) for i in range(hits, n + 1))
+
+
+
 def clopper_pearson(hits: int, n: int, level: float = 0.95) -> tuple[float, float]:
     """Exact interval of a binomial share."""
     if n == 0:

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terraloom.functions import tails
 from terraloom.operators import ladder
+from terraloom.plans import catalogue
 
 
-def soon(spark, f, seconds=40):
+def soon(spark, f, seconds=30):
     """f's result; its jobs are cancelled, which is an error, when they take longer."""
     timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
     timer.start()
@@ -25,12 +27,12 @@ def crowd(spark, rows, key, x, y, places=2):
 
 
 def test_ladder_of_a_crowd(spark):
-    targets, metric = crowd(spark, 40_000, "k", "x", "y"), crowd(spark, 40_000, "m", "mx", "my")
+    targets, metric = crowd(spark, 160_000, "k", "x", "y"), crowd(spark, 160_000, "m", "mx", "my")
     out = ladder.disc_stats(targets, metric, "k", "v", [10.0, 40.0])
     got = soon(spark, lambda: {(r.radius, r.n, r["mean"], r.p50): r["count"] for r in out.groupBy("radius", "n", "mean", "p50").count().collect()})
-    assert got == {(10.0, 20_000, 2.0, 2.0): 40_000, (40.0, 40_000, 2.0, 2.0): 40_000}
+    assert got == {(10.0, 80_000, 2.0, 2.0): 160_000, (40.0, 160_000, 2.0, 2.0): 160_000}
     rings = ladder.disc_rings(targets, metric, "k", "v", [40.0, 10.0]).groupBy("ring").agg(F.min("n").alias("n"))
-    assert soon(spark, lambda: {r.ring: r.n for r in rings.collect()}) == {0: 20_000, 1: 40_000}
+    assert soon(spark, lambda: {r.ring: r.n for r in rings.collect()}) == {0: 80_000, 1: 160_000}
 
 
 def test_ladder_against_brute_force(spark):
@@ -55,3 +57,13 @@ def test_ladder_against_brute_force(spark):
             assert [got[at]["mean"], got[at].p10, got[at].p75] == pytest.approx([np.mean(kept), *np.quantile(kept, [0.1, 0.75])])
         else:
             assert got[at]["mean"] is None and got[at].p50 is None
+
+
+def test_exact_interval_tails_of_many(spark, tmp_path):
+    """Binomial coefficients of thousands exceed a float."""
+    spark.range(9000).select(F.col("id").alias("l_suppkey")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = catalogue.QUERIES["exact_interval_tails"](spark, str(tmp_path)).collect()
+    assert {(r.n, r.at_low, r.at_high) for r in out} == {(3000, 0.025, 0.025)} and sum(r.hits for r in out) == 450
+    low, high = tails.clopper_pearson(60_000, 1_200_000)
+    assert tails.binomial_tail(60_000, 1_200_000, low) == pytest.approx(0.025) and tails.binomial_tail(1_140_000, 1_200_000, 1 - high) == pytest.approx(0.025)
+    assert [tails.binomial_tail(0, 5, 0.0), tails.binomial_tail(2, 5, 0.0), tails.binomial_tail(2, 5, 1.0), tails.binomial_tail(1, 2, 0.5)] == pytest.approx([1, 0, 1, 0.75])
