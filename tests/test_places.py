@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloom.functions import tails
-from terraloom.operators import ladder
+from terraloom.operators import joins, ladder
 from terraloom.plans import catalogue
 
 
@@ -67,3 +67,9 @@ def test_exact_interval_tails_of_many(spark, tmp_path):
     low, high = tails.clopper_pearson(60_000, 1_200_000)
     assert tails.binomial_tail(60_000, 1_200_000, low) == pytest.approx(0.025) and tails.binomial_tail(1_140_000, 1_200_000, 1 - high) == pytest.approx(0.025)
     assert [tails.binomial_tail(0, 5, 0.0), tails.binomial_tail(2, 5, 0.0), tails.binomial_tail(2, 5, 1.0), tails.binomial_tail(1, 2, 0.5)] == pytest.approx([1, 0, 1, 0.75])
+
+
+def test_nearest_on_the_sphere_of_a_crowd(spark):
+    at = lambda n, k, lat, lon: crowd(spark, n, k, "x", "y").select(k, (45 + F.col("x") / 1e5).alias(lat), F.lit(7.0).alias(lon))
+    out = joins.haversine_nearest(at(160_000, "k", "lat", "lon"), at(160_000, "p", "plat", "plon"), "k", "p", 800.0).groupBy("lat", "p", "distance_m").count()
+    assert soon(spark, lambda: sorted((r.p, r.distance_m, r["count"]) for r in out.collect())) == [(159_998, 0.0, 80_000), (159_999, 0.0, 80_000)]
