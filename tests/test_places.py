@@ -73,3 +73,16 @@ def test_nearest_on_the_sphere_of_a_crowd(spark):
     at = lambda n, k, lat, lon: crowd(spark, n, k, "x", "y").select(k, (45 + F.col("x") / 1e5).alias(lat), F.lit(7.0).alias(lon))
     out = joins.haversine_nearest(at(160_000, "k", "lat", "lon"), at(160_000, "p", "plat", "plon"), "k", "p", 800.0).groupBy("lat", "p", "distance_m").count()
     assert soon(spark, lambda: sorted((r.p, r.distance_m, r["count"]) for r in out.collect())) == [(159_998, 0.0, 80_000), (159_999, 0.0, 80_000)]
+
+
+def test_nearest_of_a_crowd(spark):
+    left, right = crowd(spark, 160_000, "k", "x", "y"), crowd(spark, 160_000, "m", "mx", "my")
+    out = joins.nearest_join(left, right, "k", ["m", "v"], 50.0, "m").groupBy("x", "m", "distance").count()
+    assert soon(spark, lambda: sorted(tuple(r) for r in out.collect())) == [(0.0, 0, 0.0, 80_000), (30.0, 1, 0.0, 80_000)]
+
+
+def test_nearest_of_keys_with_several_rows(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (1, 9.0, 0.0), (2, 0.0, 0.0), (3, 99.0, 0.0), (4, None, 0.0)], "k long, x double, y double")
+    right = spark.createDataFrame([(7, 4.0, 0.0, "b"), (5, 4.0, 0.0, "a"), (6, 8.0, 0.0, "c"), (8, -4.0, 0.0, "d")], "m long, mx double, my double, v string")
+    out = joins.nearest_join(left, right, "k", ["v"], 5.0, "m")
+    assert sorted((r.k, r.x is not None and r.x, r.v, r.distance) for r in out.collect()) == [(1, 0.0, "c", 1.0), (1, 9.0, "c", 1.0), (2, 0.0, "a", 4.0), (3, 99.0, None, None), (4, False, None, None)]
