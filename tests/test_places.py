@@ -86,3 +86,19 @@ def test_nearest_of_keys_with_several_rows(spark):
     right = spark.createDataFrame([(7, 4.0, 0.0, "b"), (5, 4.0, 0.0, "a"), (6, 8.0, 0.0, "c"), (8, -4.0, 0.0, "d")], "m long, mx double, my double, v string")
     out = joins.nearest_join(left, right, "k", ["v"], 5.0, "m")
     assert sorted((r.k, r.x is not None and r.x, r.v, r.distance) for r in out.collect()) == [(1, 0.0, "c", 1.0), (1, 9.0, "c", 1.0), (2, 0.0, "a", 4.0), (3, 99.0, None, None), (4, False, None, None)]
+
+
+def test_spacing_of_a_crowd(spark):
+    out = soon(spark, lambda: joins.grid_spacing(crowd(spark, 160_000, "k", "mx", "my"), "k", 100.0).first())
+    assert out.spacing == 0
+
+
+def test_spacing_against_brute_force(spark):
+    """Alone, together, far off, and one key at two places, which isn't its own neighbour."""
+    p = [(1, 0.0, 0.0), (1, 1.0, 0.0), (2, 5.0, 0.0), (3, 5.0, 0.0), (4, 12.0, 0.0), (5, 500.0, 0.0), (6, None, 0.0)]
+    near = {}
+    for k, x, _ in p:
+        near[k] = min([near.get(k, np.inf), *(abs(x - q) for j, q, _ in p if None not in (x, q) and j != k and abs(x - q) <= 50)]) if x is not None else np.inf
+    want = np.median([d for d in near.values() if d < np.inf])
+    assert joins.grid_spacing(spark.createDataFrame(p, "k long, mx double, my double"), "k", 50.0).first().spacing == pytest.approx(want)
+    assert joins.grid_spacing(spark.createDataFrame(p[:1], "k long, mx double, my double"), "k", 50.0).first().spacing is None
