@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloom.functions import tails
-from terraloom.operators import joins, ladder
+from terraloom.operators import joins, ladder, spatial
 from terraloom.plans import catalogue
 
 
@@ -102,3 +102,25 @@ def test_spacing_against_brute_force(spark):
     want = np.median([d for d in near.values() if d < np.inf])
     assert joins.grid_spacing(spark.createDataFrame(p, "k long, mx double, my double"), "k", 50.0).first().spacing == pytest.approx(want)
     assert joins.grid_spacing(spark.createDataFrame(p[:1], "k long, mx double, my double"), "k", 50.0).first().spacing is None
+
+
+def test_variogram_of_a_crowd(spark):
+    out = soon(spark, lambda: {r.bin: (r.n_pairs, r.gamma) for r in spatial.variogram(crowd(spark, 160_000, "k", "x", "y"), "k", "v", 40.0, 4).collect()})
+    inside, across = 80_000 * 79_999, 80_000 * 80_000
+    # of values 0 to 4, equally often, the mean squared difference of all ordered pairs is 4
+    assert out[0] == (inside, pytest.approx(0.5 * 4 * 80_000**2 / inside)) and out[3] == (across, pytest.approx(2.0))
+
+
+def test_variogram_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    p = [(k, *(float(c) for c in rng.integers(0, 6, 2) * 3), None if k % 9 == 0 else float(1e6 + rng.normal())) for k in range(120)]
+    want = {}
+    for i, (_, x, y, v) in enumerate(p):
+        for _, x2, y2, v2 in p[i + 1 :]:
+            d = np.hypot(x - x2, y - y2)
+            if d <= 9:
+                want.setdefault(min(int(d // 3), 2), []).append(None if None in (v, v2) else 0.5 * (v - v2) ** 2)
+    got = {r.bin: r for r in spatial.variogram(spark.createDataFrame(p, "k long, x double, y double, v double"), "k", "v", 9.0, 3).collect()}
+    assert got.keys() == want.keys()
+    for b, pairs in want.items():
+        assert got[b].n_pairs == len(pairs) and got[b].gamma == pytest.approx(np.mean([q for q in pairs if q is not None]))
