@@ -124,3 +124,24 @@ def test_variogram_against_brute_force(spark):
     assert got.keys() == want.keys()
     for b, pairs in want.items():
         assert got[b].n_pairs == len(pairs) and got[b].gamma == pytest.approx(np.mean([q for q in pairs if q is not None]))
+
+
+def test_components_of_a_crowd(spark):
+    out = spatial.radius_components(crowd(spark, 160_000, "k", "x", "y", 3), "k", 20.0).groupBy("component").count()
+    assert soon(spark, lambda: sorted(tuple(r) for r in out.collect())) == [(0, 53_334), (1, 53_333), (2, 53_333)]
+
+
+def test_components_against_union_find(spark):
+    """Dense and sparse places, the reach on the edge, a key at two places, a key without one."""
+    rng = np.random.default_rng(8)
+    p = [(int(k), *(float(c) for c in rng.integers(0, 60, 2))) for k in rng.permutation(150)] + [(7, 500.0, 500.0), (800, 501.0, 500.0), (900, None, 1.0)]
+    for reach in (5.0, 0.0):
+        up = {k: k for k, *_ in p}
+        find = lambda k: k if up[k] == k else find(up[k])  # noqa: E731, B023
+        for k, x, y in p:
+            for j, x2, y2 in p:
+                if x is not None and x2 is not None and np.hypot(x - x2, y - y2) <= reach and find(k) != find(j):
+                    a, b = sorted((find(k), find(j)))
+                    up[b] = a
+        got = spatial.radius_components(spark.createDataFrame(p, "k long, x double, y double"), "k", reach).collect()
+        assert len(got) == len(p) and {r.k: r.component for r in got} == {k: find(k) for k, *_ in p}
