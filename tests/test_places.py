@@ -145,3 +145,9 @@ def test_components_against_union_find(spark):
                     up[b] = a
         got = spatial.radius_components(spark.createDataFrame(p, "k long, x double, y double"), "k", reach).collect()
         assert len(got) == len(p) and {r.k: r.component for r in got} == {k: find(k) for k, *_ in p}
+
+
+def test_merged_components_of_a_crowd(spark):
+    p = crowd(spark, 160_000, "k", "x", "y").unionByName(spark.createDataFrame([(900_000, 200.0, 0.0, 1.0)], "k long, x double, y double, v double"))
+    out = spatial.component_report(p, spatial.group_labels(p, "k", reach=35.0, least=4).withColumnRenamed("group", "component"), "k")
+    assert soon(spark, lambda: [tuple(r) for r in out.collect()]) == [(0, 160_001, 200.0)]
