@@ -23,7 +23,7 @@ def clustered_grid(points: DataFrame, key: str, buffer: float, step: float) -> D
     A middle within reach of two points has them in one component, so a cell has one cluster."""
     low = lambda c: F.floor((c - buffer) / step - 0.5).cast("long")
     high = lambda c: F.ceil((c + buffer) / step - 0.5).cast("long")
-    near = points.join(buffered_components(points, key, buffer), key)
+    near = points.join(buffered_components(points, key, buffer), key).select("x", "y", "component").distinct()
     cells = near.withColumn("col", F.explode(F.sequence(low(F.col("x")), high(F.col("x"))))).withColumn("row", F.explode(F.sequence(low(-F.col("y")), high(-F.col("y")))))
     cells = cells.withColumn("cx", (F.col("col") + 0.5) * step).withColumn("cy", -(F.col("row") + 0.5) * step)
     inside = cells.where(distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")) <= float(buffer))

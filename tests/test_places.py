@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloom.functions import tails
-from terraloom.operators import joins, ladder, spatial
+from terraloom.operators import grids, joins, ladder, spatial
 from terraloom.plans import catalogue
 
 
@@ -151,3 +151,10 @@ def test_merged_components_of_a_crowd(spark):
     p = crowd(spark, 160_000, "k", "x", "y").unionByName(spark.createDataFrame([(900_000, 200.0, 0.0, 1.0)], "k long, x double, y double, v double"))
     out = spatial.component_report(p, spatial.group_labels(p, "k", reach=35.0, least=4).withColumnRenamed("group", "component"), "k")
     assert soon(spark, lambda: [tuple(r) for r in out.collect()]) == [(0, 160_001, 200.0)]
+
+
+def test_grid_of_a_crowd(spark):
+    cells = grids.clustered_grid(crowd(spark, 20_000, "k", "x", "y"), "k", 10.0, 0.1)  # 30,000 cells about each place
+    tiles = grids.planar_tiles(cells, 5.0).groupBy("cluster_id").agg(F.sum("cells").alias("n"))
+    got = soon(spark, lambda: {r.cluster_id: r.n for r in tiles.collect()})
+    assert got.keys() == {0, 1} and all(abs(n - np.pi * 100**2) < 100 for n in got.values())
