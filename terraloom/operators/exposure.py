@@ -15,12 +15,14 @@ from terraloom.functions.kernels import check_kernel, kernel_weight
 
 def point_cells(points: DataFrame, key: str, size: float, kernel: str = "none", radius: float = 100.0, plateau: float = 0.0, sigma: float = 35.0) -> DataFrame:
     """(key, row, col, cell, weight): each closed cell that holds a point (an edge is in two, a corner in four) or, with a kernel, lies within
-    its radius; the weights of a key's points add up."""
+    its radius; the weights of a key's points add up. Points are spread by key over the shuffle partitions before they become cells: a small file is one
+    task, which would hold the cells of all of its points, and the sums need no further shuffle."""
     check_kernel(kernel, radius, plateau, sigma)
     reach = 0.0 if kernel == "none" else float(radius)
     first = lambda c: F.ceil((c - reach) / size).cast("long") - 1
     last = lambda c: F.floor((c + reach) / size).cast("long")
-    cells = points.withColumn("col", F.explode(F.sequence(first(F.col("x")), last(F.col("x"))))).withColumn("row", F.explode(F.sequence(first(-F.col("y")), last(-F.col("y")))))
+    spread = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    cells = spread.withColumn("col", F.explode(F.sequence(first(F.col("x")), last(F.col("x"))))).withColumn("row", F.explode(F.sequence(first(-F.col("y")), last(-F.col("y")))))
     near = cells.withColumn("d", gap_to_cell(F.col("x"), F.col("y"), F.col("row"), F.col("col"), size)).where(F.col("d") <= reach)
     out = near.withColumn("w", kernel_weight(F.col("d"), kernel, radius, plateau, sigma)).where("w > 0")
     return out.groupBy(key, "row", "col").agg(F.sum("w").alias("weight")).withColumn("cell", cell_id(F.col("row"), F.col("col")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloom.functions import tails
-from terraloom.operators import grids, joins, ladder, spatial
+from terraloom.operators import exposure, grids, joins, ladder, spatial
 from terraloom.plans import catalogue
 
 
@@ -158,3 +158,13 @@ def test_grid_of_a_crowd(spark):
     tiles = grids.planar_tiles(cells, 5.0).groupBy("cluster_id").agg(F.sum("cells").alias("n"))
     got = soon(spark, lambda: {r.cluster_id: r.n for r in tiles.collect()})
     assert got.keys() == {0, 1} and all(abs(n - np.pi * 100**2) < 100 for n in got.values())
+
+
+def test_cells_are_made_in_all_partitions(spark):
+    """Points are spread before they become cells, and the sums need no shuffle of cells."""
+    one = crowd(spark, 3000, "k", "x", "y").coalesce(1)
+    out = exposure.point_cells(one, "k", 10.0, "linear", 25.0, 5.0)
+    assert out.count() == 3000 * out.where("k = 2").count()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    assert out.where("k = 2").select(F.sum("weight")).first()[0] == pytest.approx(exposure.point_cells(one.where("k = 2"), "k", 10.0, "linear", 25.0, 5.0).select(F.sum("weight")).first()[0])
