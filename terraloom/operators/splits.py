@@ -19,7 +19,11 @@ def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
     """Exact linear percentiles of a whole column: distinct values are counted and a running sum of the counts finds the ranks that are asked for. No
     task holds all values, as the buffer of an exact percentile aggregate would."""
     v = F.col(value).cast("double")
-    counts = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count("*").alias("c"))
+    return counted_quantiles(df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count("*").alias("c")), shares)
+
+
+def counted_quantiles(counts: DataFrame, shares: list[float]) -> list[float]:
+    """Exact linear percentiles of values v that are there c times."""
     upto = running(counts, [F.col("v")], F.col("c"), "upto")
     n = upto.agg(F.max("upto")).first()[0]
     if not n:
@@ -36,6 +40,7 @@ def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
     return out
 
 
+
 def cuts(df: DataFrame, value: str, n: int) -> list[float]:
     """Exact percentiles that part the values in n; a handful of numbers for the plan."""
     return quantiles(df, value, [i / n for i in range(n + 1)])

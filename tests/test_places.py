@@ -168,3 +168,14 @@ def test_cells_are_made_in_all_partitions(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     assert out.where("k = 2").select(F.sum("weight")).first()[0] == pytest.approx(exposure.point_cells(one.where("k = 2"), "k", 10.0, "linear", 25.0, 5.0).select(F.sum("weight")).first()[0])
+
+
+def test_dispersion_by_counted_values(spark):
+    df = spark.range(5000, numPartitions=4).select((F.col("id") % 50).cast("double").alias("a"), F.when(F.col("id") == 7, 1e6).otherwise(F.col("id") % 3).alias("b"), (F.col("id") % 2).alias("c"), F.lit(None).cast("double").alias("d"))
+    out = ladder.dispersion_flags(df, ["a", "b", "c", "d"])
+    assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.column: r for r in out.collect()}
+    a, b = np.arange(5000) % 50, np.where(np.arange(5000) == 7, 1e6, np.arange(5000) % 3)
+    assert [got["a"].sd, got["a"].spread, got["a"]["values"]] == pytest.approx([a.std(), np.quantile(a, 0.9) - np.quantile(a, 0.1), 50])
+    assert [got["b"].sd, got["b"].spread, got["b"]["values"]] == pytest.approx([b.std(), np.quantile(b, 0.9) - np.quantile(b, 0.1), 4])
+    assert {c: r.flagged for c, r in got.items()} == {"a": False, "b": True, "c": False, "d": False} and got["d"].sd is None and got["d"]["values"] == 0
