@@ -227,3 +227,19 @@ def test_zonal_statistics_of_a_crowd(spark):
     out = shapes.shape_zonal_stats(forms(spark, 20_000), raster, "s", 1.0, [0.0, 6.0])
     got = soon(spark, lambda: sorted(tuple(r) for r in out.groupBy("radius", "mean").agg(F.count("*")).collect()))
     assert got == [(0.0, 1.5, 20_000), (6.0, 1.5, 20_000)]
+
+
+def test_basis_of_many_rows(spark):
+    """Rows of one place share its basis; a component may have any number of rows."""
+    df = spark.range(24_000, numPartitions=4).select(F.col("id").alias("k"), F.when(F.col("id") >= 6, 1).alias("g"), (F.col("id") * 37 % 401).cast("double").alias("x"), (F.col("id") * 53 % 199 % 40).cast("double").alias("y"))
+    rows = spatial.basis_table(df, "k", "g", 12, 8).join(df, "k").orderBy("k").collect()
+    assert len(rows) == 24_000
+    held = [r for r in rows if r.g]
+    z, b = np.array([(r.x, r.y) for r in held]), np.array([r.basis for r in held])
+    assert b.shape == (len(held), 8) and np.allclose(b[:, 1:3], (z - z.mean(axis=0)) / 400) and np.linalg.matrix_rank(b) == 8
+    # the same as a basis of rows at the same knots
+    places, at, counts = spatial.distinct_places(z)
+    order = np.lexsort((places[:, 1], places[:, 0]))
+    knots = places[order][spatial.covering_knots(places[order], k=12, weights=counts[order])]
+    same = spatial.thin_plate_basis(z, np.array([np.flatnonzero((z == q).all(axis=1))[0] for q in knots]), 8)
+    assert np.allclose(b, same, atol=1e-8)
