@@ -243,3 +243,25 @@ def test_basis_of_many_rows(spark):
     knots = places[order][spatial.covering_knots(places[order], k=12, weights=counts[order])]
     same = spatial.thin_plate_basis(z, np.array([np.flatnonzero((z == q).all(axis=1))[0] for q in knots]), 8)
     assert np.allclose(b, same, atol=1e-8)
+
+
+def test_surrogates_of_many_rows(spark):
+    """Over 3,000 rows of a group; the variogram and the neighbours of rows, of which many share a place."""
+    rng = np.random.default_rng(2)
+    z = rng.integers(0, 12, (500, 2)).astype(float)
+    held = spatial.Places(z)
+    held.step = 7
+    f = rng.normal(size=500) + z[:, 0]
+    d = np.hypot(*(z[:, None, :] - z[None, :, :]).transpose(2, 0, 1))
+    i, j = np.triu_indices(500, 1)
+    at = np.minimum((d[i, j] / (d.max() / 2) * 10).astype(int), 10)
+    want = [0.5 * ((f[i] - f[j])[at == b] ** 2).mean() if (at == b).any() else 0.0 for b in range(10)]
+    assert held.gammas([z[:, 1], f])[1] == pytest.approx(want)
+    held = spatial.Places(z, 31)
+    for row in (0, 77, 499):
+        near = held.nearest[held.at[row]]
+        assert len(set(near)) == 31 and np.allclose(np.sort(d[row])[:31], d[row][near])
+    assert held.smooth(f, 3)[77] == pytest.approx(f[held.nearest[held.at[77], :4]].mean())
+    df = crowd(spark, 4000, "k", "x", "y", 300).withColumn("g", F.lit(1))
+    out = spatial.surrogates(df, "g", "k", "v", 2).groupBy("draw").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).collect()
+    assert [(r.n, r.m, r.s) for r in out] == [(4000, pytest.approx(2), pytest.approx(2**0.5))] * 2
