@@ -265,3 +265,28 @@ def test_surrogates_of_many_rows(spark):
     df = crowd(spark, 4000, "k", "x", "y", 300).withColumn("g", F.lit(1))
     out = spatial.surrogates(df, "g", "k", "v", 2).groupBy("draw").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).collect()
     assert [(r.n, r.m, r.s) for r in out] == [(4000, pytest.approx(2), pytest.approx(2**0.5))] * 2
+
+
+def smooth_rows(spark, rows=24_000):
+    """An outcome and an exposure over one surface, many rows at few places of one group."""
+    draw = lambda seed: F.randn(seed)
+    at = spark.range(rows, numPartitions=2).select(F.col("id"), F.lit(1).alias("g"), (F.col("id") % 40 / 4).alias("x"), (F.floor(F.col("id") / 40) % 10).cast("double").alias("y"))
+    return at.withColumn("wave", F.sin("x") + F.col("y") / 5).withColumn("ex", F.col("wave") + draw(3) * 0.5).withColumn("out", 0.7 * F.col("ex") + 2 * F.col("wave") + draw(4) * 0.3)
+
+
+def test_slopes_of_many_rows(spark):
+    r = spatial.plus_report(smooth_rows(spark), "g", "id", ["ex"], ["out"], 10).first()
+    assert r.n == 24_000 and r.slope == pytest.approx(0.7, abs=0.02) and r.low < r.slope < r.high
+
+
+def test_smoother_adds_rows_up_by_place():
+    rng = np.random.default_rng(4)
+    z = rng.integers(0, 6, (300, 2)).astype(float)
+    made, v, w = spatial.Smoother(z, 20), rng.normal(size=300), rng.integers(0, 3, 300).astype(float)
+    b = made.basis[made.at]
+    assert len(made.basis) == 36 and (b**2).mean(axis=0) == pytest.approx(np.ones(b.shape[1]))
+    for weights in (None, w):
+        wide = b.T * (np.ones(300) if weights is None else weights)
+        m = wide @ b + 0.3 * np.diag(made.penalty) + 1e-10 * np.eye(b.shape[1])
+        assert made.fitted(made.penalised(0.3, made.gram(weights)), v, weights) == pytest.approx(b @ np.linalg.solve(m, wide @ v))
+    assert made.trace(0.3) == pytest.approx(np.trace(b @ np.linalg.solve(b.T @ b + 0.3 * np.diag(made.penalty) + 1e-10 * np.eye(b.shape[1]), b.T)))
