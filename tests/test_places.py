@@ -290,3 +290,10 @@ def test_smoother_adds_rows_up_by_place():
         m = wide @ b + 0.3 * np.diag(made.penalty) + 1e-10 * np.eye(b.shape[1])
         assert made.fitted(made.penalised(0.3, made.gram(weights)), v, weights) == pytest.approx(b @ np.linalg.solve(m, wide @ v))
     assert made.trace(0.3) == pytest.approx(np.trace(b @ np.linalg.solve(b.T @ b + 0.3 * np.diag(made.penalty) + 1e-10 * np.eye(b.shape[1]), b.T)))
+
+
+def test_search_columns_of_many_rows(spark):
+    df = smooth_rows(spark)
+    moved = spatial.search_transform(df, "g", "id", ["ex"])
+    left = lambda t: abs(t.agg(F.corr("ex", "wave")).first()[0])
+    assert moved.count() == 24_000 and left(moved) < 0.1 * left(df)
