@@ -109,11 +109,11 @@ class Study:
         return replace(self, wide=written(kept, "study"))
 
     def coverage(self, reach: float) -> dict[str, float]:
-        """Share of the entities with a point of each channel within reach; channels of one layer share its join."""
+        """Share of the entities with a point of each channel within reach: places meet places."""
         out, n = {}, max(self.target.count(), 1)
         for name, m in self.metrics.items():
-            near = joins.radius_join(self.target.select(self.key, "x", "y"), m.where("value is not null"), reach)
-            out[name] = near.select(self.key).distinct().count() / n
+            near = joins.radius_join(self.target.select("x", "y").distinct(), m.where("value is not null").select("mx", "my").distinct(), reach).select("x", "y").distinct()
+            out[name] = self.target.join(near, ["x", "y"], "left_semi").select(self.key).distinct().count() / n
         return out
 
     def sampled(self, points: DataFrame, key: str, reach: float) -> DataFrame:
